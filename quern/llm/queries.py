@@ -41,9 +41,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def said(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def of(kind: str) -> Column:
+        return F.filter("secrets", lambda s: s["kind"] == kind)
+
     return found.select(
         "doc_id",
-        *[F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds],
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds],
         F.sha2(said(F.filter("secrets", lambda s: s["kind"].isin(kinds))), 256).alias("base_sha256"),
         said(F.col("secrets")).alias("spans"),
     )
