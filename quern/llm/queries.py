@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, embedding_dedup, hilbert, licenses, secrets, simhash, toxicity
+from quern.llm import ann, bpe, embedding_dedup, hilbert, licenses, mixing, secrets, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix_sources(docs, max_repeats=2.0)
+    return mixed.select(F.col("id").alias("doc_id"), "source", "tokens", "copies", "pass", "position")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cross_polytope_ann": op1_cross_polytope_ann,
     "op2_license_scan": op2_license_scan,
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,
+    "op9_temperature_mixing": op9_temperature_mixing,
 }
 
 ORACLES: dict[str, str] = {}
