@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, embedding_dedup, hilbert, licenses, mixing, secrets, simhash, toxicity
+from quern.llm import ann, bpe, embedding_dedup, hilbert, licenses, mixing, secrets, simhash, surrogates, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,13 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "source", "tokens", "copies", "pass", "position")
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    mapping = surrogates.fit_surrogates(docs, key=b"registered query")
+    done = surrogates.replace_entities(docs, mapping)
+    return done.select("doc_id", F.size("entities").cast("long").alias("n_entities"), "text", "entities")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cross_polytope_ann": op1_cross_polytope_ann,
     "op2_license_scan": op2_license_scan,
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,
     "op9_temperature_mixing": op9_temperature_mixing,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLES: dict[str, str] = {}
