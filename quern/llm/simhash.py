@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import connected_components, durable
@@ -148,24 +148,113 @@ def simhash_components(rows: DataFrame, key: str, bucket_limit: int = 256) -> Da
     return rows.join(names, rows.fp == F.col("__fp"), "left").drop("__fp")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity_floor: float = 0.0) -> DataFrame:
+BANDS = 12
+SAMPLE = 3
+
+
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's word shingles, sorted."""
+    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    found = {digest(b" ".join(tokens[i : i + words]), SEED) for i in range(max(1, len(tokens) - words + 1))}
+    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
+
+
+def sampled_fingerprints(shingles: np.ndarray) -> list[int]:
+    """One SimHash for each band, of the three shingles that the band's permutation puts first.
+
+    Texts of Jaccard similarity s share a band's sample, and so its fingerprint, with probability of about s ** 3.
+    """
+    out = []
+    for b in range(BANDS):
+        mixed = shingles * np.uint64(2 * xxhash.xxh64_intdigest(bytes([b]), 1) % (1 << 64) | 1)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        first = shingles[np.argpartition(mixed, SAMPLE - 1)[:SAMPLE]] if len(shingles) > SAMPLE else shingles
+        ones = np.unpackbits(first.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits((2 * ones > len(first)).astype(np.uint8), bitorder="little").view("<i8")[0]) if len(first) else 0)
+    return out
+
+
+def _candidate_pairs(texts: DataFrame, bucket_limit: int, small: int = 32, centres: int = 4) -> DataFrame:
+    """Pairs (u, v) of text keys to verify: texts with linked whole-text fingerprints or a common sampled one."""
+    fps = durable(texts.groupBy("fp").agg(F.min("key").alias("least")), "text-fps")
+    same = texts.join(fps, "fp").where("key <> least").select(F.col("least").alias("u"), F.col("key").alias("v"))
+    links = fingerprint_links(fps.select("fp"), bucket_limit)
+    a, b = fps.select(F.col("fp").alias("u"), F.col("least").alias("a")), fps.select(F.col("fp").alias("v"), F.col("least").alias("b"))
+    linked = links.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    bands = texts.select("key", F.posexplode("samples").alias("band", "sample"))
+    sizes = bands.groupBy("band", "sample").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = durable(bands.join(sizes, ["band", "sample"]), "bands")
+    few = shared.where(F.col("n") <= small)
+    x, y = few.alias("x"), few.alias("y")
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.sample") == F.col("y.sample")) & (F.col("x.key") < F.col("y.key"))
+    pairs = x.join(y, met).select(F.col("x.key").alias("u"), F.col("y.key").alias("v"))
+
+    # Of a large group the texts that meet the most others over all bands are its centres; a text from which copies were made is one.
+    weight = shared.groupBy("key").agg(F.sum("n").alias("weight"))
+    many = shared.where(F.col("n") > small).join(weight, "key")
+    nth = F.row_number().over(Window.partitionBy("band", "sample").orderBy(F.desc("weight"), "key"))
+    middle = many.withColumn("nth", nth).where(F.col("nth") <= centres).select("band", "sample", F.col("key").alias("centre"))
+    stars = many.join(middle, ["band", "sample"]).where("key <> centre").select(F.least("key", "centre").alias("u"), F.greatest("key", "centre").alias("v"))
+    return same.unionByName(linked).unionByName(pairs).unionByName(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bucket_limit: int = 256) -> DataFrame:
     """One document of each near-duplicate group: the row with the smallest id; the columns stay as they are.
 
+    Candidates are texts whose whole-text fingerprints differ in 2 bits or fewer (pivot distance tables), and,
+    as near copies of similarity 0.8 lie about ten bits apart, texts with an equal sampled fingerprint (see
+    ``sampled_fingerprints``; 12 bands find a pair of similarity 0.8 with probability 0.9998). Candidates are
+    verified: they link if the Jaccard similarity of their sets of ``words``-word shingles is at least
+    ``similarity``. Groups are the components of the links. In a group of more than 32 texts that share a
+    sample each text is compared with the four of them that meet the most texts over all bands.
+
     Rows are told apart by id and a hash of the whole row. Null ids count as the largest. Of rows that are
-    wholly equal one stays. Texts without a word have fingerprint 0 and form one group. The output holds the
-    kept rows only; extra columns of any name pass through.
+    wholly equal one stays. Null texts count as empty; texts without a word form one group. An empty table
+    gives an empty result; extra columns of any name pass through.
     """
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    slim = durable(with_fingerprint(docs.select(F.col(id_col).alias("__id"), row_hash.alias("__row"), F.col(text_col).alias("__t")), "__t", ["__id", "__row"], words, "fp"), "fps")
-    # A number that orders rows by id, with nulls last, and names the group by its first row.
+    slim = docs.select(F.col(f"`{id_col}`").alias("__id"), row_hash.alias("__row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
+    slim = slim.withColumn("key", F.md5(F.col("__text").cast("binary")))
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf.drop(columns="__text")
+            out["fp"] = np.array([fingerprint(t, words) for t in pdf["__text"]], dtype=np.int64)
+            out["samples"] = [sampled_fingerprints(_shingles(t, words)) for t in pdf["__text"]]
+            yield out
+
+    form = slim.drop("__text").withColumn("fp", F.lit(0).cast("long")).withColumn("samples", F.array().cast("array<long>"))
+    rows = durable(slim.mapInPandas(sketch, form.schema), "sketches")
+    texts = durable(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("samples").alias("samples")), "texts")
+    pairs = durable(_candidate_pairs(texts, bucket_limit), "pairs")
+
+    wanted = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+
+    @F.pandas_udf("array<long>")
+    def shingle_set(rows: pd.Series) -> pd.Series:
+        return pd.Series([_shingles(t, words).astype(np.int64) for t in rows], dtype=object)
+
+    owner = rows.groupBy("key").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("o"))
+    one = owner.join(wanted, "key").select(F.col("o.__id").alias("__id"), F.col("o.__row").alias("__row"), "key")
+    source = slim.drop("key").alias("s").join(one.alias("o"), F.col("s.__id").eqNullSafe(F.col("o.__id")) & (F.col("s.__row") == F.col("o.__row")))
+    sets = durable(source.select("o.key", shingle_set("s.__text").alias("set")).dropDuplicates(["key"]), "sets")
+    left, right = sets.select(F.col("key").alias("u"), F.col("set").alias("a")), sets.select(F.col("key").alias("v"), F.col("set").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    union = F.size("a") + F.size("b") - both
+    alike = F.when(union == 0, 1.0).otherwise(both / union)
+    edges = durable(pairs.join(left, "u").join(right, "v").where(alike >= similarity).select("u", "v"), "near")
+
+    nodes = connected_components(edges).withColumnRenamed("node", "key")
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
-    grouped = simhash_components(slim.withColumn("__key", order), "__key")
-    kept = grouped.groupBy("component").agg(F.min("__key").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.row").alias("__row"))
+    firsts = rows.groupBy("key").agg(F.min(order).alias("k")).join(nodes, "key", "left")
+    kept = firsts.groupBy(F.coalesce("component", "key").alias("c")).agg(F.min("k").alias("k")).select(F.col("k.id").alias("__kid"), F.col("k.row").alias("__krow"))
     kept = durable(kept, "kept")
-    tagged = docs.withColumn("__row0", row_hash)
-    same = tagged[id_col].eqNullSafe(kept["__id"]) & (tagged["__row0"] == kept["__row"])
-    # Wholly equal rows share the join's key, so the window needs no shuffle of its own.
-    from pyspark.sql import Window
-
-    once = F.row_number().over(Window.partitionBy("__row0").orderBy(F.lit(1)))
-    return tagged.join(kept, same, "left_semi").withColumn("__nth", once).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    tagged = docs.withColumn("__row", row_hash)
+    found = tagged.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kid")) & (F.col("__row") == F.col("__krow")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1)))  # wholly equal rows
+    return found.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
