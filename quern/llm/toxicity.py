@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
 Texts become TF-IDF vectors over the terms that the labels set apart: words whose
-document counts among toxic and clean labelled texts differ significantly (G-test).
+odds are ``least_odds`` times higher in toxic than in clean labelled texts, and
+significantly so (G-test); the latter alone would admit ever weaker words as data grows.
 Labelled examples with such a term go into an inverted index whose postings are cut
 into blocks with their largest weights. A search bounds each block's cosine, visits
 blocks from the highest bound down and stops when no bound reaches the k-th best, so
@@ -138,6 +139,7 @@ def fit_toxicity(
     label_col: str = "toxic",
     max_terms: int = 2048,
     least_g: float = 40.0,
+    least_odds: float = 8.0,
     least_docs: int = 8,
     max_examples: int = 20_000,
     max_broadcast_labels: int = 2_000_000,
@@ -174,7 +176,8 @@ def fit_toxicity(
         c, d = F.lit(float(n1)) - a, F.lit(float(n - n1)) - b
         size, rest = a + b, c + d
         g = 2 * (part(a, n1, size) + part(b, n - n1, size) + part(c, n1, rest) + part(d, n - n1, rest))
-        best = stats.select("w", g.alias("g")).where(F.col("g") >= least_g).orderBy(F.desc("g"), "w").limit(max_terms).collect()
+        odds = (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))
+        best = stats.select("w", g.alias("g"), odds.alias("odds")).where((F.col("g") >= least_g) & (F.col("odds") >= least_odds)).orderBy(F.desc("g"), "w").limit(max_terms).collect()
         number = {r["w"]: i for i, r in enumerate(best)}
     model = ToxicityModel(number, np.ones(len(number)), BlockMaxIndex([], [], [], len(number)), n1 / n if n else 0.0, k)
 
@@ -194,10 +197,13 @@ def fit_toxicity(
 
     @F.pandas_udf("double")
     def without_itself(ids: pd.Series, terms: pd.Series, counts: pd.Series) -> pd.Series:
-        out = []
+        out, cache = [], {}
         for i, t, c in zip(ids, terms, counts):
             t, c = np.asarray(t, dtype=np.int64), np.asarray(c, dtype=float)
-            near = [x for x in model.index.search(t, model.vector(t, c), k + 1) if x[1] != i][:k]
+            key = (t.tobytes(), c.tobytes())
+            if key not in cache:
+                cache[key] = model.index.search(t, model.vector(t, c), k + 1)
+            near = [x for x in cache[key] if x[1] != i][:k]
             out.append(model.vote(near) if near else None)
         return pd.Series(out, dtype="float64")
 
