@@ -94,10 +94,10 @@ def hilbert_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def shard_ranges(df: DataFrame, placed: DataFrame, id_col: str, dims: list[str]) -> DataFrame:
     """Per shard the rows and each dimension's minimum and maximum: what a reader needs to skip shards. Ids are unique."""
     ranges = [f(F.col(f"`{d}`")).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))]
-    return df.join(placed.select(id_col, "shard"), id_col).groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), *ranges)
+    return df.drop("shard").join(placed.select(id_col, "shard"), id_col).groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), *ranges)
 
 
 def write_shards(df: DataFrame, placed: DataFrame, id_col: str, path: str) -> None:
     """Write ``df`` as one folder per shard, rows in slot order. Ids are unique; a large shard spreads over several files."""
-    whole = df.join(placed.select(id_col, "shard", "slot"), id_col)
+    whole = df.drop("shard", "slot").join(placed.select(id_col, "shard", "slot"), id_col)
     whole.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

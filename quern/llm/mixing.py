@@ -138,10 +138,11 @@ def mixed_documents(df: DataFrame, **options: object) -> DataFrame:
     taken = mix_sources(df, **options).groupBy("row_hash", "copies").agg(F.count(F.lit(1)).alias("times"))
     taken = durable(taken.groupBy("row_hash").agg(F.sum("times").alias("times")), "mix-times")
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    counted = df.withColumn("__row", whole).join(taken, F.col("__row") == F.col("row_hash"))
+    taken = taken.select(F.col("row_hash").alias("__taken"), F.col("times").alias("__times"))
+    counted = df.withColumn("__row", whole).join(taken, F.col("__row") == F.col("__taken"))
     # Wholly equal rows share the times taken: the n-th of them gets every n-th.
     nth = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1)))
     n = F.count(F.lit(1)).over(Window.partitionBy("__row"))
-    share = F.floor((F.col("times") + n - nth) / n).cast("int")
+    share = F.floor((F.col("__times") + n - nth) / n).cast("int")
     counted = counted.withColumn("__share", share).where("__share > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__share"))))
     return counted.select(*[F.col(f"`{c}`") for c in df.columns])

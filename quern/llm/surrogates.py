@@ -141,6 +141,7 @@ class Surrogates:
     key: bytes
     syllables: int = 3
     moved: dict[tuple[str, str, str], int] = field(default_factory=dict)
+    alphabet: dict[str, list[str]] = field(default_factory=lambda: SYLLABLES)
 
     def _hash(self, tweak: str, value: int, size: int) -> int:
         data = hashlib.blake2b(f"{tweak}|{value}".encode(), key=self.key[:64], digest_size=32).digest()
@@ -211,7 +212,7 @@ class Surrogates:
                 cycle = sorted(names, key=lambda n: self._hash(f"given|{group}|{n}", 0, 16))
                 return cycle[(cycle.index(canon) + 1) % len(cycle)]
         script, _, gender = group.partition(" ")
-        parts = SYLLABLES[script]
+        parts = self.alphabet[script]
         n = self._hash(f"{tweak}|{canon}", 0, 16)
         return "".join(parts[n // len(parts) ** i % len(parts)] for i in range(self.syllables)) + ENDINGS.get((script, gender), "")
 
@@ -240,7 +241,7 @@ class Surrogates:
         return "".join(out) + text[at:], spans
 
 
-def fit_surrogates(df: DataFrame, key: bytes, text_col: str = "text", max_moved: int = 100_000, max_rounds: int = 20) -> Surrogates:
+def fit_surrogates(df: DataFrame, key: bytes, text_col: str = "text", max_moved: int = 100_000, max_rounds: int = 20, alphabet: dict[str, list[str]] | None = None) -> Surrogates:
     """The mapping for all texts of ``df``, with its collision checks done over all distinct entities.
 
     Given names of a list go round a cycle through it and can't collide; all else takes part in the check. The
@@ -254,13 +255,13 @@ def fit_surrogates(df: DataFrame, key: bytes, text_col: str = "text", max_moved:
     atoms = df.select(F.explode(entities(F.col(f"`{text_col}`"))).alias("e")).select("e.*").distinct()
     atoms = durable(atoms, "entities")
     names = atoms.where("kind in ('family', 'given')").groupBy("group").count().collect()  # a row for each script and gender
-    mapping = Surrogates(key)
-    while any(r["count"] ** 2 > 2000 * len(SYLLABLES[r["group"].split(" ")[0]]) ** mapping.syllables for r in names):
+    mapping = Surrogates(key, alphabet=alphabet or SYLLABLES)
+    while any(r["count"] ** 2 > 2000 * len(mapping.alphabet[r["group"].split(" ")[0]]) ** mapping.syllables for r in names):
         mapping.syllables += 1
     while True:
         current = atoms.withColumn("attempt", F.lit(0))
         for _ in range(max_rounds):
-            now = Surrogates(key, mapping.syllables)
+            now = Surrogates(key, mapping.syllables, alphabet=mapping.alphabet)
 
             @F.pandas_udf("string")
             def surrogate(kind: pd.Series, group: pd.Series, canon: pd.Series, attempt: pd.Series) -> pd.Series:

@@ -40,7 +40,7 @@ class BlockMaxIndex:
         self.block, self.n_blocks = block, -(-len(order) // block)
         terms = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
         weights = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        places = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        places = np.repeat(np.arange(len(order)), np.array([len(vectors[i][0]) for i in order], dtype=np.int64))
         by_term = np.argsort(terms, kind="stable")
         self.places, self.weights = places[by_term], weights[by_term]
         first = np.searchsorted(terms[by_term], np.arange(n_terms + 1))
