@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,18 +10,7 @@ from pyspark.sql import functions as F
 from quern import functions as Q
 from quern import streaming
 from quern.operators import groups, joins
-from quern.session import table
-
-
-def _shared(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="spark-quern-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+from quern.session import shared_dir, table
 
 
 def join_asof(spark: SparkSession, d: str) -> DataFrame:
@@ -76,23 +64,23 @@ def vec_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     counted = streaming.tumbling_counts(streaming.as_stream(spark, d, "events"), by=["event_type"])
-    return streaming.drain(spark, counted, "complete", _shared(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return streaming.drain(spark, counted, "complete", shared_dir(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
     counted = streaming.session_counts(streaming.as_stream(spark, d, "events"), "user_id")
-    return streaming.drain(spark, counted, "complete", _shared(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return streaming.drain(spark, counted, "complete", shared_dir(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     stream = streaming.drop_repeats(streaming.as_stream(spark, d, "events").select("event_id", "user_id", "ts"), ["event_id"])
-    return streaming.drain(spark, stream, "append", _shared(spark)).select("event_id", "user_id")
+    return streaming.drain(spark, stream, "append", shared_dir(spark)).select("event_id", "user_id")
 
 
 def stream_interval_join(spark: SparkSession, d: str) -> DataFrame:
     views = streaming.as_stream(spark, d, "events").where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", F.col("ts").alias("begins"))
     buys = streaming.as_stream(spark, d, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    return streaming.drain(spark, streaming.interval_join(views, buys, "user_id", "begins", "ts", "6 HOURS"), "append", _shared(spark)).select("event_id", "view_id")
+    return streaming.drain(spark, streaming.interval_join(views, buys, "user_id", "begins", "ts", "6 HOURS"), "append", shared_dir(spark)).select("event_id", "view_id")
 
 
 _PAIRS = """SELECT b.event_id, v.event_id AS view_id FROM events b JOIN events v ON b.user_id = v.user_id AND b.ts >= v.ts AND b.ts < v.ts + INTERVAL 6 HOUR

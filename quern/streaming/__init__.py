@@ -10,17 +10,9 @@ from pyspark.sql import functions as F
 
 
 def as_stream(spark: SparkSession, sf_dir: str, name: str, time: str = "ts") -> DataFrame:
-    """A table's files as a stream."""
+    """A table as a stream, be it one file or a folder of files (a stream reads a folder, or what a pattern finds)."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet" if _is_file(spark, sf_dir, name) else "*.parquet").parquet(
-        sf_dir if _is_file(spark, sf_dir, name) else f"{sf_dir}/{name}.parquet"
-    ).withColumn(time, F.col(time).cast("timestamp"))
-
-
-def _is_file(spark: SparkSession, sf_dir: str, name: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]").withColumn(time, F.col(time).cast("timestamp"))
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", time: str = "ts", by: list[str] | None = None) -> DataFrame:
