@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import durable
+
 #: A list of hot groups is broadcast up to this many rows; a longer one is joined by a shuffle.
 BROADCAST_GROUPS = 100_000
 
@@ -51,6 +53,6 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def with_parts(rows: DataFrame, sizes: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """``rows`` with ``parts``: into how many parts of about ``limit`` rows its group falls. ``sizes``: keys and n."""
-    hot = sizes.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("__parts")).cache()
+    hot = durable(sizes.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("__parts")), "hot")
     side = F.broadcast(hot) if hot.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else hot
     return rows.join(side, keys, "left").withColumn("parts", F.coalesce("__parts", F.lit(1))).drop("__parts")
