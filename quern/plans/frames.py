@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import functions as Q
 from quern import streaming
-from quern.operators import groups, joins
+from quern.operators import custom, groups, joins
 from quern.session import shared_dir, table
 
 
@@ -62,6 +64,55 @@ def vec_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return scored.orderBy(F.desc("score"), "vec_id").limit(10)
 
 
+def agg_approx_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+
+
+def grouped_map(spark: SparkSession, d: str) -> DataFrame:
+    found = custom.standardised(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), ["c_mktsegment"], "c_acctbal")
+    return found.select("c_custkey", F.round("z", 6).alias("z"))
+
+
+def cogroup_map(spark: SparkSession, d: str) -> DataFrame:
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        key = (a if len(a) else b)["nation"].iloc[0]
+        return pd.DataFrame({"nation": [key], "customers": [len(a)], "suppliers": [len(b)]})
+
+    customers = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"))
+    suppliers = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"))
+    return custom.paired_groups(customers, suppliers, ["nation"], run, "nation int, customers long, suppliers long")
+
+
+def batch_map(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    return custom.map_batches(rows, lambda b: b.filter(pc.greater(b.column("p_retailprice"), 995.0)), rows.schema)
+
+
+def udtf_words(spark: SparkSession, d: str) -> DataFrame:
+    spark.udtf.register("quern_words", custom.Words)
+    return spark.sql("SELECT p_partkey, w.place, w.word FROM {part} p, LATERAL quern_words(p.p_name) w", part=table(spark, d, "part"))
+
+
+def udf_vectorised(spark: SparkSession, d: str) -> DataFrame:
+    @F.pandas_udf("string")
+    def initials(names: pd.Series) -> pd.Series:
+        return names.str.split(" ").map(lambda w: "".join(x[:1] for x in w))
+
+    return table(spark, d, "part").select("p_partkey", initials("p_name").alias("initials"))
+
+
+def sql_udf(spark: SparkSession, d: str) -> DataFrame:
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION quern_net(price DOUBLE, cut DOUBLE) RETURNS DOUBLE RETURN price * (1 - cut)")
+    return spark.sql("SELECT l_orderkey, l_linenumber, l_partkey, quern_net(l_extendedprice, l_discount) AS net FROM {lineitem}", lineitem=table(spark, d, "lineitem"))
+
+
+def stream_state(spark: SparkSession, d: str) -> DataFrame:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    totals = custom.running_totals(streaming.as_stream(spark, d, "events"), "user_id", "value")
+    last = groups.latest(streaming.drain(spark, totals, "update", shared_dir(spark)), ["key"], ["n"])
+    return last.select(F.col("key").alias("user_id"), "n", F.round("total", 6).alias("total"))
+
+
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     counted = streaming.tumbling_counts(streaming.as_stream(spark, d, "events"), by=["event_type"])
     return streaming.drain(spark, counted, "complete", shared_dir(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
@@ -88,8 +139,8 @@ WHERE b.event_type = 'purchase' AND v.event_type = 'view'"""
 _FRESH = "CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh"
 _SESSIONS = f"SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM (SELECT *, {_FRESH} FROM events)"
 
-#: name: (query, DuckDB SQL)
-FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+#: name: (query, DuckDB SQL; None where there is no exact result)
+FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "join_asof": (
         join_asof,
         """SELECT c.event_id, v.value AS view_value FROM (SELECT * FROM events WHERE event_type = 'click') c
@@ -124,6 +175,25 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         * list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS score
         FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 10""",
     ),
+    "agg_approx_distinct": (agg_approx_distinct, None),
+    "grouped_map": (
+        grouped_map,
+        """SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER w) / stddev_pop(c_acctbal) OVER w, 6) AS z FROM customer
+        WINDOW w AS (PARTITION BY c_mktsegment)""",
+    ),
+    "cogroup_map": (
+        cogroup_map,
+        """SELECT nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers
+        FROM (SELECT c_nationkey AS nation, count(*) AS customers FROM customer GROUP BY 1) FULL JOIN (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier GROUP BY 1) USING (nation)""",
+    ),
+    "batch_map": (batch_map, "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 995"),
+    "udtf_words": (
+        udtf_words,
+        "SELECT p_partkey, CAST(place AS INTEGER) AS place, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS place FROM part)",
+    ),
+    "udf_vectorised": (udf_vectorised, "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1:1]), '') AS initials FROM part"),
+    "sql_udf": (sql_udf, "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem"),
+    "stream_state": (stream_state, "SELECT user_id, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY user_id"),
     "stream_tumbling": (stream_tumbling, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "stream_session": (stream_session, f"SELECT user_id, min(ts) AS start, count(*) AS n FROM ({_SESSIONS}) GROUP BY user_id, session"),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT event_id, user_id FROM events"),
