@@ -98,7 +98,7 @@ def mix_sources(
     block_tokens: int = 1_000_000,
     seed: str = "mix",
 ) -> DataFrame:
-    """(row_hash, id, source, tokens, copies, pass, position) of the mixed corpus: a row for each time a document is taken.
+    """(row_hash, id, source, tokens, copies, weight, pass, position) of the mixed corpus: a row for each time a document is taken.
 
     ``position`` in [0, 1) interleaves the sources: the part of its source's budget that lies before the
     document. Order by it to read the mixture. ``copies`` numbers wholly equal rows from 0; they are taken
@@ -111,7 +111,7 @@ def mix_sources(
     grouped = durable(rows.groupBy("row_hash", "id", "source", "tokens").agg(F.count(F.lit(1)).alias("n")), "mix-rows")
     sums = grouped.select("source", (F.col("tokens") * F.col("n")).alias("tokens"))
     plan = durable(plan_weights(sums, target_entropy, max_repeats, budget).withColumn("passes", F.floor(F.col("budget") / F.col("tokens"))), "mix-plan")
-    known = plan.select(F.col("source").alias("__s"), F.col("tokens").alias("source_tokens"), "budget", "passes")
+    known = plan.select(F.col("source").alias("__s"), F.col("tokens").alias("source_tokens"), "weight", "budget", "passes")
     plan_join = F.col("source").eqNullSafe(F.col("__s"))
     # A plan has a row for each source, of which max_sources is the bound.
     docs = grouped.withColumn("copies", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))).drop("n").join(F.broadcast(known), plan_join).drop("__s")
@@ -130,7 +130,7 @@ def mix_sources(
     order = F.xxhash64(F.lit(seed), F.lit("doc"), "pass", "row_hash", "copies")
     inner = Window.partitionBy(*keys).orderBy(order, "row_hash", "id", "copies").rowsBetween(Window.unboundedPreceding, -1)
     met = met.withColumn("at", F.col("before") + F.coalesce(F.sum("tokens").over(inner), F.lit(0))).where(F.col("at") < F.col("budget"))
-    return met.select("row_hash", "id", "source", "tokens", "copies", "pass", (F.col("at") / F.col("budget")).alias("position"))
+    return met.select("row_hash", "id", "source", "tokens", "copies", "weight", "pass", (F.col("at") / F.col("budget")).alias("position"))
 
 
 def mixed_documents(df: DataFrame, **options: object) -> DataFrame:
