@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +44,22 @@ def shared_dir(spark: SparkSession) -> str:
     own = "file://" + tempfile.mkdtemp(prefix="spark-quern-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, unless they find it where the driver's environment says."""
+    root = Path(__file__).resolve().parent.parent
+    named = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if "site-packages" in root.parts or any(p and Path(p).resolve() == root for p in named):
+        return
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        packed = Path(tempfile.mkdtemp(prefix="spark-quern-")) / "quern.zip"
+        with zipfile.ZipFile(packed, "w") as z:
+            for f in (root / "quern").rglob("*.py"):
+                z.write(f, f.relative_to(root))
+        spark.sparkContext.addPyFile(str(packed))
+        _SHIPPED.add(app)
