@@ -44,7 +44,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             break
         seen = mark
         both = hi_lo.unionAll(hi_lo.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # As a table of its own, so that AQE may split the join's other side where a node has most edges.
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u").select("u", "v", "m")

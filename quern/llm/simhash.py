@@ -110,7 +110,7 @@ def fingerprint_links(distinct_fps: DataFrame, bucket_limit: int = 256) -> DataF
     """Edges (u, v) between distinct fingerprints ``fp`` whose components are those of all links of 2 bits or less."""
     table = durable(pivot_table(distinct_fps), "pivots")
     slim = durable(table.select("fp", F.explode(_bucket_keys()).alias("b")).select("fp", "b.combo", "b.key"), "buckets")
-    sizes = slim.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = durable(slim.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     shared = durable(slim.join(sizes, ["combo", "key"]), "shared")
 
     cold = shared.where(F.col("n") <= bucket_limit).join(table, "fp")
@@ -187,7 +187,7 @@ def _candidate_pairs(texts: DataFrame, bucket_limit: int, small: int = 32, centr
     linked = links.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     bands = texts.select("key", F.posexplode("samples").alias("band", "sample"))
-    sizes = bands.groupBy("band", "sample").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = durable(bands.groupBy("band", "sample").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band-sizes")
     shared = durable(bands.join(sizes, ["band", "sample"]), "bands")
     few = shared.where(F.col("n") <= small)
     x, y = few.alias("x"), few.alias("y")
