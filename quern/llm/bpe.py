@@ -246,6 +246,7 @@ def encode_texts(df: DataFrame, tokenizer_path: str, text_col: str = "text", mod
 
     places = durable(keyed.mapInPandas(cut, "key binary, start int, size int, chunk binary").distinct(), "places")
     owners = places.groupBy("chunk").agg(F.min(F.struct("key", "start")).alias("owner"), F.max("key").alias("last")).where("owner.key <> last")
+    owners = durable(owners, "owners")  # a table of its own, so that AQE may split a chunk that most texts share
     plan = places.join(owners, "chunk").select("key", F.struct("start", "size", "chunk", ((F.col("key") == F.col("owner.key")) & (F.col("start") == F.col("owner.start"))).alias("own")).alias("place"))
     plan = plan.groupBy("key").agg(F.collect_list("place").alias("plan"))
 
