@@ -49,27 +49,33 @@ def _signed(x: int) -> int:
 REFERENCES = [0, *(_signed(3 << 2 * j) for j in range(PAIRS)), *(_signed(xxhash.xxh64_intdigest(bytes([i]), SEED)) for i in range(31))]
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The signed 64-bit SimHash of one text: shingles of ``words`` words, repeats included.
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of a text's shingles of ``words`` words in order, repeats included; a shorter text is one shingle.
 
-    Null and empty texts, and texts without a word, give 0. Shorter texts are one shingle.
+    ASCII letters count in lower case and only ASCII white space parts words. Null and texts without a word have none.
     """
-    tokens = (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII letters and white space only
+    tokens = (text or "").encode("utf-8", "replace").lower().split()  # of bytes, so ASCII only
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens])
-    starts = np.concatenate(([0], ends[:-1]))
-    n = max(1, len(tokens) - words + 1)
+    starts = np.concatenate(([0], ends[:-1])).tolist()
+    stops = (ends[min(words, len(tokens)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops)), dtype="<u8", count=len(stops))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed number whose bits are set in over half of the hashes; 0 for none."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 15):
-        to = min(n, at + (1 << 15))
-        stops = (ends[min(words, len(tokens)) - 1 :][at:to] - 1).tolist()
-        h = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[at:to].tolist(), stops)), dtype="<u8", count=to - at)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little")
-    return int(bits.view("<i8")[0])
+    for at in range(0, len(hashes), 1 << 15):
+        ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The signed 64-bit SimHash of one text's shingles."""
+    return majority(shingle_hashes(text, words))
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None = None, words: int = 3, name: str = "fingerprint") -> DataFrame:
@@ -150,16 +156,8 @@ def simhash_components(rows: DataFrame, key: str, bucket_limit: int = 256) -> Da
 
 BANDS = 12
 SAMPLE = 3
-
-
-def _shingles(text: str | None, words: int) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's word shingles, sorted."""
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    found = {digest(b" ".join(tokens[i : i + words]), SEED) for i in range(max(1, len(tokens) - words + 1))}
-    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
+#: The bands' permutations multiply by these.
+_ODD = np.array([xxhash.xxh64_intdigest(bytes([b]), 1) | 1 for b in range(BANDS)], dtype=np.uint64)
 
 
 def sampled_fingerprints(shingles: np.ndarray) -> list[int]:
@@ -167,14 +165,18 @@ def sampled_fingerprints(shingles: np.ndarray) -> list[int]:
 
     Texts of Jaccard similarity s share a band's sample, and so its fingerprint, with probability of about s ** 3.
     """
-    out = []
-    for b in range(BANDS):
-        mixed = shingles * np.uint64(2 * xxhash.xxh64_intdigest(bytes([b]), 1) % (1 << 64) | 1)
+    n = len(shingles)
+    if n <= SAMPLE:
+        return [majority(shingles)] * BANDS
+    out: list[int] = []
+    step = max(1, (1 << 20) // n)  # bands at a time, by memory
+    for at in range(0, BANDS, step):
+        mixed = shingles[None, :] * _ODD[at : at + step, None]
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0x9E3779B97F4A7C15)
-        first = shingles[np.argpartition(mixed, SAMPLE - 1)[:SAMPLE]] if len(shingles) > SAMPLE else shingles
-        ones = np.unpackbits(first.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits((2 * ones > len(first)).astype(np.uint8), bitorder="little").view("<i8")[0]) if len(first) else 0)
+        first = shingles[np.argpartition(mixed, SAMPLE - 1, axis=1)[:, :SAMPLE]]
+        ones = np.unpackbits(np.ascontiguousarray(first, "<u8").view(np.uint8).reshape(len(first), SAMPLE, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+        out += np.packbits((2 * ones > SAMPLE).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
     return out
 
 
@@ -224,8 +226,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf.drop(columns="__text")
-            out["fp"] = np.array([fingerprint(t, words) for t in pdf["__text"]], dtype=np.int64)
-            out["samples"] = [sampled_fingerprints(_shingles(t, words)) for t in pdf["__text"]]
+            hashes = [shingle_hashes(t, words) for t in pdf["__text"]]
+            out["fp"] = np.array([majority(h) for h in hashes], dtype=np.int64)
+            out["samples"] = [sampled_fingerprints(np.unique(h)) for h in hashes]
             yield out
 
     form = slim.drop("__text").withColumn("fp", F.lit(0).cast("long")).withColumn("samples", F.array().cast("array<long>"))
@@ -237,7 +240,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     @F.pandas_udf("array<long>")
     def shingle_set(rows: pd.Series) -> pd.Series:
-        return pd.Series([_shingles(t, words).astype(np.int64) for t in rows], dtype=object)
+        return pd.Series([np.unique(shingle_hashes(t, words)).astype(np.int64) for t in rows], dtype=object)
 
     owner = rows.groupBy("key").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("o"))
     one = owner.join(wanted, "key").select(F.col("o.__id").alias("__id"), F.col("o.__row").alias("__row"), "key")
