@@ -47,7 +47,7 @@ def rows():
     return out + [(500 + k, v, 1, None, None) for k, v in enumerate(odd)]
 
 
-@pytest.mark.parametrize("limit", [4096, 16])
+@pytest.mark.parametrize("limit", [4096, 64])
 def test_links_and_components(spark, rows, limit):
     got = embedding_dedup.embedding_near_dups(spark.createDataFrame(rows, SCHEMA), cosine=0.9, limit=limit).collect()
     links = brute_links(rows, 0.9)
@@ -63,6 +63,7 @@ def test_links_of_empty_and_null_ids(spark):
 
 @pytest.mark.parametrize("options", [{}, {"hashes": 2, "tables": 24, "probes": 64, "block": 64}])
 def test_neighbours_recall_and_order(spark, rows, options):
+    rows = rows if not options else rows[::3]  # a longer code has many more buckets
     df = spark.createDataFrame(rows, SCHEMA)
     got = {}
     for r in ann.nearest_neighbours(df, df.where("vec_id % 10 = 0"), **options).collect():
