@@ -180,17 +180,21 @@ def sampled_fingerprints(shingles: np.ndarray) -> list[int]:
     return out
 
 
-def _candidate_pairs(texts: DataFrame, bucket_limit: int, small: int = 32, centres: int = 4) -> DataFrame:
-    """Pairs (u, v) of text keys to verify: texts with linked whole-text fingerprints or a common sampled one."""
-    fps = durable(texts.groupBy("fp").agg(F.min("key").alias("least")), "text-fps")
-    same = texts.join(fps, "fp").where("key <> least").select(F.col("least").alias("u"), F.col("key").alias("v"))
-    links = fingerprint_links(fps.select("fp"), bucket_limit)
-    a, b = fps.select(F.col("fp").alias("u"), F.col("least").alias("a")), fps.select(F.col("fp").alias("v"), F.col("least").alias("b"))
-    linked = links.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    bands = texts.select("key", F.posexplode("samples").alias("band", "sample"))
+def _buckets(texts: DataFrame, bucket_limit: int) -> DataFrame:
+    """(band, sample, key, n): texts that share a sampled fingerprint, or (band -1) a component of linked whole-text ones."""
+    fps = durable(texts.select("fp").distinct(), "text-fps")
+    nodes = connected_components(fingerprint_links(fps, bucket_limit)).withColumnRenamed("node", "fp")
+    whole = texts.select("key", "fp").join(nodes, "fp", "left").select("key", F.lit(-1).alias("band"), F.coalesce("component", "fp").alias("sample"))
+    bands = texts.select("key", F.posexplode("samples").alias("band", "sample")).unionByName(whole)
     sizes = durable(bands.groupBy("band", "sample").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band-sizes")
-    shared = durable(bands.join(sizes, ["band", "sample"]), "bands")
+    return durable(bands.join(sizes, ["band", "sample"]), "bands")
+
+
+def _candidate_pairs(shared: DataFrame, small: int = 32, centres: int = 4) -> DataFrame:
+    """Pairs (u, v) of text keys to verify: all of a small bucket, and in a large one each text with its centres.
+
+    The latter only tell which large buckets are of one component; ``_open_links`` compares the others in full.
+    """
     few = shared.where(F.col("n") <= small)
     x, y = few.alias("x"), few.alias("y")
     met = (F.col("x.band") == F.col("y.band")) & (F.col("x.sample") == F.col("y.sample")) & (F.col("x.key") < F.col("y.key"))
@@ -202,7 +206,59 @@ def _candidate_pairs(texts: DataFrame, bucket_limit: int, small: int = 32, centr
     nth = F.row_number().over(Window.partitionBy("band", "sample").orderBy(F.desc("weight"), "key"))
     middle = many.withColumn("nth", nth).where(F.col("nth") <= centres).select("band", "sample", F.col("key").alias("centre"))
     stars = many.join(middle, ["band", "sample"]).where("key <> centre").select(F.least("key", "centre").alias("u"), F.greatest("key", "centre").alias("v"))
-    return same.unionByName(linked).unionByName(pairs).unionByName(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return pairs.unionByName(stars).distinct()
+
+
+def links_between(keys: list[str], components: list[str], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[str, str]]:
+    """Verified links that join the components of rows ``left`` and ``right``: a spanning set of all links between them.
+
+    The parity of the shingles in each of some bins differs in no more bins than the sets differ in shingles,
+    so pairs that differ in more bins than the similarity allows are discarded without loss.
+    """
+    size = np.array([len(s) for s in sets])
+    bins = 1 << max(10, int(size.max(initial=1)).bit_length())
+    parity = np.stack([np.packbits((np.bincount(s.astype(np.uint64) % np.uint64(bins), minlength=bins) & 1).astype(np.uint8)).view(np.uint64) for s in sets])
+    label = np.unique(np.array(components, dtype=str), return_inverse=True)[1]
+    share = (1 - similarity) / (1 + similarity)
+    out = []
+    for i in left.tolist():
+        others = right[label[right] != label[i]]
+        apart = np.bitwise_count(parity[others] ^ parity[i]).sum(axis=1, dtype=np.int64)
+        for j in others[apart <= share * (size[others] + size[i]) + 1e-6].tolist():
+            if label[i] == label[j]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            union = int(size[i] + size[j]) - both
+            if not union or both / union >= similarity:
+                out.append((keys[i], keys[j]))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _open_links(shared: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, small: int = 32, part_rows: int = 1024, part_shingles: int = 1 << 20) -> DataFrame:
+    """Links (u, v) within large buckets whose texts aren't of one component of ``nodes`` yet.
+
+    A bucket is cut into parts by rows and shingles; each two parts meet in a task of their own. What is sent
+    on is linear, the comparisons are quadratic in the bucket.
+    """
+    size = sets.select("key", F.size("set").alias("size"))
+    many = shared.where(F.col("n") > small).join(nodes, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    many = durable(many.join(size, "key"), "large")
+    pieces = F.greatest(F.ceil(F.count(F.lit(1)) / part_rows), F.ceil(F.sum("size") / part_shingles)).cast("int")
+    stats = many.groupBy("band", "sample").agg(pieces.alias("parts"), F.min("component").alias("low"), F.max("component").alias("high"))
+    unlike = durable(stats.where("low <> high").select("band", "sample", "parts"), "open")
+    rows = many.join(unlike, ["band", "sample"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("band", "sample", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "component", "key")
+    rows = durable(rows, "parts").join(sets, "key")
+
+    def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = key[-2], key[-1]
+        at = [np.flatnonzero((pdf["part"] == p).to_numpy()) for p in (low, high)]
+        found = links_between(pdf["key"].tolist(), pdf["component"].tolist(), [np.asarray(s, dtype=np.int64) for s in pdf["set"]], at[0], at[1], similarity)
+        return pd.DataFrame(found, columns=["u", "v"], dtype=object)
+
+    return rows.groupBy("band", "sample", "low", "high").applyInPandas(link, "u string, v string")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bucket_limit: int = 256) -> DataFrame:
@@ -213,7 +269,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``sampled_fingerprints``; 12 bands find a pair of similarity 0.8 with probability 0.9998). Candidates are
     verified: they link if the Jaccard similarity of their sets of ``words``-word shingles is at least
     ``similarity``. Groups are the components of the links. In a group of more than 32 texts that share a
-    sample each text is compared with the four of them that meet the most texts over all bands.
+    sample each text is first compared with the four of them that meet the most texts over all bands; if that
+    leaves the group in several components, all its pairs of different components are compared.
 
     Rows are told apart by id and a hash of the whole row. Null ids count as the largest. Of rows that are
     wholly equal one stays. Null texts count as empty; texts without a word form one group. An empty table
@@ -234,7 +291,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     form = slim.drop("__text").withColumn("fp", F.lit(0).cast("long")).withColumn("samples", F.array().cast("array<long>"))
     rows = durable(slim.mapInPandas(sketch, form.schema), "sketches")
     texts = durable(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("samples").alias("samples")), "texts")
-    pairs = durable(_candidate_pairs(texts, bucket_limit), "pairs")
+    shared = _buckets(texts, bucket_limit)
+    pairs = durable(_candidate_pairs(shared), "pairs")
 
     wanted = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
 
@@ -252,7 +310,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alike = F.when(union == 0, 1.0).otherwise(both / union)
     edges = durable(pairs.join(left, "u").join(right, "v").where(alike >= similarity).select("u", "v"), "near")
 
-    nodes = connected_components(edges).withColumnRenamed("node", "key")
+    nodes = durable(connected_components(edges).withColumnRenamed("node", "key"), "first-nodes")
+    more = durable(_open_links(shared, nodes, sets, similarity), "open-links")
+    if not more.isEmpty():
+        nodes = connected_components(more.unionByName(nodes.select(F.col("key").alias("u"), F.col("component").alias("v")))).withColumnRenamed("node", "key")
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
     firsts = rows.groupBy("key").agg(F.min(order).alias("k")).join(nodes, "key", "left")
     kept = firsts.groupBy(F.coalesce("component", "key").alias("c")).agg(F.min("k").alias("k")).select(F.col("k.id").alias("__kid"), F.col("k.row").alias("__krow"))
