@@ -79,6 +79,18 @@ def linked_pairs(x: np.ndarray, rotated: np.ndarray, block: int, cosine: float,
                 yield p[close], q[close]
 
 
+def joined_roots(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``root`` (each row's smallest linked row, itself a root) after the links of rows ``p`` and ``q``. Only roots are hooked, so earlier links stay."""
+    while True:
+        a, b = root[p], root[q]
+        if (a == b).all():
+            return root
+        root = root.copy()
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def embedding_near_dups(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", seed: int = 3, limit: int = 4096) -> DataFrame:
     """(id, n_links, component_id, kept), one row for each row of ``df``.
 
@@ -133,15 +145,7 @@ def embedding_near_dups(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_
                 for p, q in linked_pairs(x, turned, int(key[2]), cosine, left, right, same):
                     np.add.at(links, p, copies[q])
                     np.add.at(links, q, copies[p])
-                    while True:  # smallest index of each linked pair, until nothing changes
-                        least = np.minimum(root[p], root[q])
-                        if (root[p] == least).all() and (root[q] == least).all():
-                            break
-                        np.minimum.at(root, root[p], least)
-                        np.minimum.at(root, root[q], least)
-                        np.minimum.at(root, p, least)
-                        np.minimum.at(root, q, least)
-                        root = root[root]
+                    root = joined_roots(root, p, q)
             edges = [(int(ids[root[i]]), int(ids[i])) for i in np.flatnonzero(root != np.arange(len(root)))]
         counted = [(int(ids[i]), None, int(links[i])) for i in np.flatnonzero(links)]
         return pd.DataFrame(counted + [(u, w, 0) for u, w in edges], columns=["u", "v", "n"]).astype({"v": "Int64"})

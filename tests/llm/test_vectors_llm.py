@@ -55,6 +55,33 @@ def test_links_and_components(spark, rows, limit):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (len(s), component(links, i), component(links, i) == i) for i, s in links.items()}
 
 
+def test_links_of_long_chains_in_one_label(spark):
+    rng = np.random.default_rng(4)
+    chains = []
+    for _ in range(150):
+        x = rng.standard_normal(8)
+        for _ in range(20):
+            chains.append(x := x / np.linalg.norm(x) + rng.standard_normal(8) * 0.1)
+    x = np.array(chains, dtype=np.float32)[rng.permutation(len(chains))]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_near_dups(df, cosine=0.95).collect()}
+    y = x.astype(np.float64)
+    near = (y @ y.T) / np.sqrt(np.outer((y * y).sum(axis=1), (y * y).sum(axis=1))) >= 0.95
+    np.fill_diagonal(near, False)
+    links = {i: set(np.flatnonzero(near[i]).tolist()) for i in range(len(x))}
+    assert got == {i: (len(s), component(links, i)) for i, s in links.items()}
+    assert len({c for _, c in got.values()}) > 20
+
+
+def test_joined_roots_keep_earlier_links():
+    root = np.arange(800)
+    batches = [[(5, 300), (5, 700), (3, 301), (3, 302), (1, 303), (2, 600)], [(300, 301), (302, 303)], [(600, 700)]]
+    for batch in batches:
+        p, q = np.array(batch).T
+        root = embedding_dedup.joined_roots(root, p, q)
+    assert {root[i] for i in (1, 2, 3, 5, 300, 301, 302, 303, 600, 700)} == {1}
+
+
 def test_links_of_empty_and_null_ids(spark):
     assert embedding_dedup.embedding_near_dups(spark.createDataFrame([], SCHEMA)).count() == 0
     got = embedding_dedup.embedding_near_dups(spark.createDataFrame([(None, [1.0, 0.0], 1, "", 0), (7, [1.0, 0.0], 1, "", 0)], SCHEMA)).collect()
