@@ -104,7 +104,7 @@ BASE = [("mit", "license", "mit license"), ("apache", "license", "apache license
 
 #: How sure a detection of each priority is.
 SURENESS = [1.0, 0.95, 0.8, 0.5]
-#: The prefilter: a text without any of these, in any case, has no detections whatever the rules. Base phrases all have the first.
+#: The SQL oracle's prefilter, which misses some texts that rules match; scans use ``gate``, which follows from the rules.
 GATES = ["licen", "spdx", "creative", "domain", "permission", "redistribut", "proprietary", "implied", "cc by", "cc-by", "cc0", "gpl"]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -133,6 +133,25 @@ def rules() -> list[dict]:
     return [{"rule": i, "label": a, "kw": k, "pattern": f" {n}(?= )", "priority": p, "base": b} for i, (a, k, n, p, b) in enumerate(found)]
 
 
+#: What a match of each form of a name holds besides the name's keyword.
+CLUES = [["spdx"], ["under"], ["subject", "governed", "covered"], ["licen"], ["licen"]]
+
+
+def gate(lowered: Column) -> Column:
+    """Whether a text in lower case may hold a match: each rule's match holds the rule's keyword, and a name's form one of its clues."""
+
+    def holds(words: list[str]) -> Column:
+        found = F.lit(False)
+        for w in words:
+            found = found | F.contains(lowered, F.lit(w))
+        return found
+
+    clues = holds(sorted({c for form in CLUES for c in form}))
+    names = holds(sorted({kw for _, kw, _ in NAMES} | {"cc", "commons"}))
+    others = holds(sorted({kw for _, kw, _, _ in SENTENCES} | {kw for _, kw, _ in BASE}))
+    return others | (clues & names) | (F.contains(lowered, F.lit("cc")) & lowered.rlike(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"))
+
+
 def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
@@ -179,13 +198,9 @@ def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
     table = F.from_json(F.lit(json.dumps(rules())), schema)
     keywords = F.lit(sorted({r["kw"] for r in rules()}))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    lowered = F.lower(text)
-    gate = F.lit(False)
-    for g in GATES:
-        gate = gate | F.contains(lowered, F.lit(g))
-
+    lowered = F.translate(text, UPPER, LOWER)
     out = df.withColumn("n_words", F.size(F.regexp_extract_all(text, F.lit(WORD.replace(r"\x60", r"\x40\x5B-\x60")), F.lit(0))).cast("long"))
-    out = out.withColumn("__words", F.when(gate, F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))))
+    out = out.withColumn("__words", F.when(gate(lowered), F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))))
     out = out.withColumn("__kws", F.array_intersect("__words", keywords))
     chosen = F.filter(table, lambda r: F.array_contains("__kws", r["kw"]))
     out = out.withColumn("__norm", F.when(F.size("__kws") > 0, F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))))

@@ -64,6 +64,32 @@ def test_stronger_rules_suppress_contained_ones(spark):
     assert all(h.label != "gpl" for h in r.license_hits)
 
 
+def shortest(parsed, last):
+    """A text that a parsed regex matches: the last or first of alternatives, nothing that is optional."""
+    out = ""
+    for op, arg in parsed:
+        if op is re._constants.LITERAL:
+            out += chr(arg)
+        elif op is re._constants.IN:
+            out += chr(arg[0][1])
+        elif op is re._constants.BRANCH:
+            out += shortest(arg[1][-1 if last else 0], last)
+        elif op is re._constants.SUBPATTERN:
+            out += shortest(arg[3], last)
+        elif op is re._constants.MAX_REPEAT:
+            out += shortest(arg[2], last) * arg[0]
+    return out
+
+
+def test_every_license_rule_runs_on_its_match_alone(spark):
+    texts = [shortest(re._parser.parse(r["pattern"]), last).strip() for r in licenses.rules() for last in (False, True)]
+    got = licenses.scan_licenses(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [r.text for r in got if not r.labels] == []
+    forms = {"Released under MIT": "mit", "Distributed under the Apache 2.0": "apache-2.0", "Covered by MPL 2.0": "mpl-2.0", "CC_BY_4.0": "cc-by-4.0", "CC/BY 4.0": "cc-by-4.0", "CC\nBY 4.0": "cc-by-4.0"}
+    got = licenses.scan_licenses(spark.createDataFrame([(t,) for t in forms], "text string")).collect()
+    assert {r.text: r.labels for r in got} == forms
+
+
 def test_encoding_equals_the_library(spark, odd):
     from tokenizers import Tokenizer
 
