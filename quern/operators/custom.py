@@ -15,17 +15,22 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def standardised(df: DataFrame, by: list[str], value: str, out: str = "z") -> DataFrame:
-    """``df`` with (value - mean) / population deviation of its group; 0 where the group has no spread. One group fits in a task."""
+    """``df`` with (value - mean) / population deviation of its group; 0 where the group has no spread. Null and NaN values don't count.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sd = pdf[value].std(ddof=0)
-        return pdf.assign(**{out: (pdf[value] - pdf[value].mean()) / sd if sd > 0 else 0.0})
-
-    return df.groupBy(*by).applyInPandas(run, df.withColumn(out, F.lit(0.0)).schema)
+    Groups may have any size: their moments are combined before the shuffle and joined back.
+    """
+    number = F.nanvl(F.col(f"`{value}`").cast("double"), F.lit(None))
+    keys = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(by)]
+    moments = df.groupBy(*keys).agg(F.avg(number).alias("__mean"), F.stddev_pop(number).alias("__sd"))
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+    z = F.when(F.col("__sd") > 0, (number - F.col("__mean")) / F.col("__sd")).otherwise(0.0)
+    return df.join(moments, same).withColumn(out, z).drop("__mean", "__sd", *[f"__k{i}" for i in range(len(by))])
 
 
 def paired_groups(left: DataFrame, right: DataFrame, by: list[str], run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``run`` over the rows of both sides for each key of either."""
+    """``run`` over the rows of both sides for each key of either. A key's rows must fit in a task: combine them before."""
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, schema)
 
 

@@ -76,10 +76,11 @@ def grouped_map(spark: SparkSession, d: str) -> DataFrame:
 def cogroup_map(spark: SparkSession, d: str) -> DataFrame:
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         key = (a if len(a) else b)["nation"].iloc[0]
-        return pd.DataFrame({"nation": [key], "customers": [len(a)], "suppliers": [len(b)]})
+        return pd.DataFrame({"nation": [key], "customers": [a["n"].sum()], "suppliers": [b["n"].sum()]})
 
-    customers = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"))
-    suppliers = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"))
+    # A row for each nation and side, so that a group has two rows at most.
+    customers = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    suppliers = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
     return custom.paired_groups(customers, suppliers, ["nation"], run, "nation int, customers long, suppliers long")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quern import functions as Q
 from quern import sources, streaming
-from quern.operators import groups, joins
+from quern.operators import custom, groups, joins
+from quern.plans import frames
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -94,3 +95,18 @@ def test_empty_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema("event_id long, ts timestamp").parquet(f"file://{tmp_path}/in")
     assert streaming.drain(spark, streaming.drop_repeats(stream, ["event_id"]), "append", f"file://{tmp_path}").count() == 0
+
+
+def test_standardised_values_without_whole_groups_in_python(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("a", float("nan")), ("b", 5.0), ("b", 5.0), (None, 2.0), (None, 6.0)], "k string, x double")
+    got = custom.standardised(df, ["k"], "x")
+    assert got.columns == ["k", "x", "z"] and "InPandas" not in got._jdf.queryExecution().toString()
+    assert rows(got.select("k", "z")) == rows(spark.createDataFrame([("a", -1.0), ("a", 1.0), ("a", None), ("a", None), ("b", 0.0), ("b", 0.0), (None, -1.0), (None, 1.0)], "k string, z double"))
+
+
+def test_paired_counts_take_a_row_a_key(spark, monkeypatch):
+    sides = []
+    paired = custom.paired_groups
+    monkeypatch.setattr(custom, "paired_groups", lambda left, right, *a: sides.extend([left, right]) or paired(left, right, *a))
+    assert frames.cogroup_map(spark, "/root/testdata/sf0.001").count() == 25
+    assert all(s.count() == s.select("nation").distinct().count() for s in sides)
