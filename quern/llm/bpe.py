@@ -36,6 +36,8 @@ from quern.llm.common import durable
 #: The pattern by which byte-level BPE of this family splits text before the merges: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SAFE = re.compile(r"(?<=\S)[ \n]")
+#: A long run of the pattern's white space. The splitter would recurse over it, so it is taken out beforehand.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1024,}")
 
 
 class Encoder:
@@ -68,18 +70,32 @@ class Encoder:
             self.bytes_of[v] = k
         self.ranks = {base64.b64encode(k): v for k, v in ranks.items()}
         self.cut_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self._merger = None
+        self._mergers = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_merger": None}
+        return self.__dict__ | {"_mergers": {}}
 
-    def plain(self, text: str) -> list[int]:
-        """The ids of a text without special tokens."""
-        if self._merger is None:
+    def _merge(self, text: str, pattern: str) -> list[int]:
+        if pattern not in self._mergers:
             import tiktoken
 
-            self._merger = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(k): v for k, v in self.ranks.items()}, special_tokens={})
-        return self._merger.encode_ordinary(text)
+            self._mergers[pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={base64.b64decode(k): v for k, v in self.ranks.items()}, special_tokens={})
+        return self._mergers[pattern].encode_ordinary(text)
+
+    def plain(self, text: str) -> list[int]:
+        """The ids of a text without special tokens.
+
+        The pattern takes a run of white space as one piece, but for its last character if text follows.
+        Long runs are merged as such a piece by themselves, which gives the same ids for runs of any length.
+        """
+        ids: list[int] = []
+        at = 0
+        for run in LONG_RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += self._merge(text[at : run.start()], PATTERN)
+            ids += self._merge(text[run.start() : end], r"[\s\S]+")
+            at = end
+        return ids + self._merge(text[at:], PATTERN) if at else self._merge(text, PATTERN)
 
     def encode(self, text: str) -> list[int]:
         if self.cut_special is None or not any(s in text for s in self.special):
@@ -230,8 +246,10 @@ def encode_texts(df: DataFrame, tokenizer_path: str, text_col: str = "text", mod
 
     ``mode`` "ids" adds ``ids`` (array<int>); "digest" adds n_tokens, ids_sha256 (of the ids as little-endian
     unsigned 32-bit numbers) and decoded_sha256 (of the decoded text in UTF-8). A null text counts as empty: no
-    ids. Every row comes back once, repeated rows included. Decode ids with ``decode_ids``. ``tokenizer_path``
-    is read on the driver.
+    ids. Every row comes back once, repeated rows included; an empty table gives an empty result. Texts are
+    encoded whole, however long (runs of blanks or line ends too, see ``Encoder.plain``), one text at a time
+    in memory. Columns of ``df`` with the results' names are replaced. Decode ids with ``decode_ids``.
+    ``tokenizer_path`` is read on the driver.
     """
     encoder = Encoder(tokenizer_path)
     columns, finish = _finisher(mode, encoder)

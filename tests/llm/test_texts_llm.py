@@ -106,8 +106,25 @@ def test_encoding_equals_the_library(spark, odd):
     assert bpe.encode_texts(odd.where("false"), queries.tokenizer_path()).count() == 0
 
 
+def test_long_runs_encode_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    texts = [f"a{c * 1_000_000}{b}" for c in " \nx7\t" for b in ("b", "")] + ["x" + " \n" * 300_000 + "\u3000\x1c" * 3000 + "y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.ids for r in bpe.encode_texts(df, queries.tokenizer_path(), keep=["doc_id"]).collect()}
+    assert all(got[i] == plain.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts))
+
+
+def test_runs_of_ten_million_characters(spark):
+    df = spark.createDataFrame([(" ",), ("\n",)], "c string").selectExpr("c", "concat('a', repeat(c, 10000000), 'b') AS text")
+    for r in bpe.encode_texts(df, queries.tokenizer_path(), mode="digest", keep=["c"]).collect():
+        assert r.n_tokens == {" ": 10_000_001, "\n": 5_000_003}[r.c]  # as the library counts
+        assert r.decoded_sha256 == hashlib.sha256(f"a{r.c * 10_000_000}b".encode()).hexdigest()
+
+
 ENCODER = bpe.Encoder(queries.tokenizer_path())
-PARTS = [" ", "  ", "\n", "\n\n", " \n", "a", "the", "don't", "'s", "é", "漢字", "1", "23", "!!", "...", "\t", "\x1c", "\xa0", "<|endoftext|>", "🙂", "word "]
+PARTS = [" " * 1030, "\n\n" * 700, " ", "  ", "\n", "\n\n", " \n", "a", "the", "don't", "'s", "é", "漢字", "1", "23", "!!", "...", "\t", "\x1c", "\xa0", "<|endoftext|>", "🙂", "word "]
 
 
 @settings(max_examples=200, deadline=None)
