@@ -21,6 +21,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on as many tasks as there are cores, if it has fewer than two for each: for costly Python on small tables."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of an undirected graph, as (node, component).
 

@@ -1,13 +1,14 @@
 """Toxicity by the nearest labelled examples.
 
-Texts become TF-IDF vectors over the terms that the labels set apart: words whose
-odds are ``least_odds`` times higher in toxic than in clean labelled texts, and
-significantly so (G-test); the latter alone would admit ever weaker words as data grows.
-Labelled examples with such a term go into an inverted index whose postings are cut
-into blocks with their largest weights. A search bounds each block's cosine, visits
-blocks from the highest bound down and stops when no bound reaches the k-th best, so
-the neighbours are exact. Neighbours vote with weights that fall with the distance,
-and the share of votes is calibrated by isotonic regression on the labelled texts,
+Texts become TF-IDF vectors over all words of the labelled examples. A term's weight is
+(1 + log count) * idf * sqrt(G + 0.1): the idf is of all documents, and G is the term's
+G statistic against the labels of all training rows (supervised term weighting, Debole
+and Sebastiani 2003), so that terms which tell the labels apart pull examples nearer; no
+term is left out. The examples, toxic and clean, are in an inverted index whose
+postings are cut into blocks with their largest weights. A search bounds each block's
+cosine, visits blocks from the highest bound down and stops when no bound reaches the
+k-th best, so the neighbours are exact. Neighbours vote with weights that fall with the
+distance, and the share of votes is calibrated by isotonic regression on the examples,
 each searched without itself. The nearest examples are the evidence.
 
 A score depends on the text alone: equal texts have equal scores.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,74 +26,95 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import durable
+from quern.llm.common import durable, spread
 
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, one stretch after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 class BlockMaxIndex:
     """Exact top-k cosine over unit sparse vectors, by postings with block maxima."""
 
     def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64) -> None:
-        # Like vectors stand together, so that a block's maxima bound it closely.
-        order = sorted(range(len(ids)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")].tolist(), ids[i]))
+        # Examples with the same strongest terms stand together, so that a block's maxima bound it closely.
+        order = sorted(range(len(ids)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:4]].tolist(), ids[i]))
         self.ids = np.array([ids[i] for i in order], dtype=np.int64)
         self.labels = np.array([labels[i] for i in order], dtype=np.int64)
-        self.block, self.n_blocks = block, -(-len(order) // block)
+        self.n_blocks = -(-len(order) // block)
         terms = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
         weights = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
         places = np.repeat(np.arange(len(order)), np.array([len(vectors[i][0]) for i in order], dtype=np.int64))
         by_term = np.argsort(terms, kind="stable")
-        self.places, self.weights = places[by_term], weights[by_term]
-        first = np.searchsorted(terms[by_term], np.arange(n_terms + 1))
-        edges = np.arange(self.n_blocks + 1) * block
-        self.cuts = np.stack([first[t] + np.searchsorted(self.places[first[t] : first[t + 1]], edges) for t in range(n_terms)]) if n_terms else np.zeros((0, 1), np.int64)
-        self.most = np.zeros((n_terms, max(1, self.n_blocks)))
-        np.maximum.at(self.most, (terms[by_term], self.places // block), self.weights)
+        self.places, self.weights, terms = places[by_term], weights[by_term], terms[by_term]
+        # A run is what one term has in one block.
+        blocks = self.places // block
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
+        at = np.flatnonzero(new)
+        self.run_at, self.run_block = np.append(at, len(terms)), blocks[at]
+        self.run_most = np.maximum.reduceat(self.weights, at) if len(at) else np.zeros(0)
+        self.first = np.searchsorted(terms[at], np.arange(n_terms + 1))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int, int]]:
         """The k best (cosine, id, label) of positive cosine, ties to the smaller id."""
-        if not len(terms) or not self.n_blocks:
+        sizes = self.first[terms + 1] - self.first[terms]
+        runs, w = _ranges(self.first[terms], sizes), np.repeat(weights, sizes)
+        if not len(runs):
             return []
-        bounds = weights @ self.most[terms]
-        found: list[tuple[float, int]] = []
-        least = 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or bounds[b] < least - 1e-9:
+        bounds = np.bincount(self.run_block[runs], w * self.run_most[runs], self.n_blocks)
+        order = np.argsort(-bounds, kind="stable")
+        best_p, best_s = np.zeros(0, np.int64), np.zeros(0)
+        least, at, step = 0.0, 0, 8
+        while at < len(order):
+            now = order[at : at + step]
+            now = now[(bounds[now] > 0) & (bounds[now] >= least - 1e-9)]
+            if not len(now):
                 break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                lo, hi = self.cuts[t, b], self.cuts[t, b + 1]
-                scores[self.places[lo:hi] - b * self.block] += w * self.weights[lo:hi]
-            found += [(round(float(scores[i]), 9), b * self.block + i) for i in np.flatnonzero(scores > max(0.0, least - 1e-9)).tolist()]
-            if len(found) >= k:
-                found = self._best(found, k)
-                least = found[-1][0]
-        return [(s, int(self.ids[p]), int(self.labels[p])) for s, p in self._best(found, k)]
-
-    def _best(self, found: list[tuple[float, int]], k: int) -> list[tuple[float, int]]:
-        return sorted(found, key=lambda f: (-f[0], self.ids[f[1]]))[:k]
+            wanted = np.zeros(self.n_blocks, bool)
+            wanted[now] = True
+            inside = wanted[self.run_block[runs]]
+            r = runs[inside]
+            long = self.run_at[r + 1] - self.run_at[r]
+            posts = _ranges(self.run_at[r], long)
+            scores = np.round(np.bincount(self.places[posts], np.repeat(w[inside], long) * self.weights[posts], len(self.ids)), 9)
+            found = np.flatnonzero(scores > 0) if not least else np.flatnonzero(scores >= least)
+            p, s = np.concatenate((best_p, found)), np.concatenate((best_s, scores[found]))
+            keep = np.lexsort((self.ids[p], -s))[:k]
+            best_p, best_s = p[keep], s[keep]
+            if len(keep) == k:
+                least = best_s[-1]
+            at += step
+            step *= 8
+        return list(zip(best_s.tolist(), self.ids[best_p].tolist(), self.labels[best_p].tolist()))
 
 
 @dataclass
 class ToxicityModel:
-    """What scoring needs; its size is bounded by ``max_terms`` and ``max_examples``."""
+    """What scoring needs; its size is bounded by the ``max_examples`` texts whose words it holds."""
 
     number: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray
     index: BlockMaxIndex
     prior: float
     k: int
-    steps: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    knots: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1), np.zeros(1)))
     no_term: float = 0.0
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        found = Counter(n for w in WORDS.findall((text or "").lower()) if (n := self.number.get(w)) is not None)
-        terms = np.array(sorted(found), dtype=np.int64)
-        return terms, np.array([found[t] for t in terms.tolist()], dtype=float)
+        return self.numbered(Counter(WORDS.findall((text or "").lower())))
+
+    def numbered(self, found: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        terms = np.array([self.number.get(w, -1) for w in found], dtype=np.int64)
+        order = np.argsort(terms, kind="stable")[(terms < 0).sum() :]
+        return terms[order], np.array(list(found.values()), dtype=float)[order]
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = (1 + np.log(counts)) * self.weight[terms]
         return w / np.sqrt((w * w).sum()) if len(w) else w
 
     def vote(self, near: list[tuple[float, int, int]]) -> float:
@@ -102,28 +125,41 @@ class ToxicityModel:
     def calibrated(self, raw: float | None) -> float:
         if raw is None:
             return self.no_term
-        return float(np.interp(raw * len(self.steps) - 0.5, np.arange(len(self.steps)), self.steps))
+        return float(np.interp(raw, *self.knots))
 
-    def judge(self, text: str | None, cache: dict, evidence: int = 3) -> tuple[float, list[tuple[float, int, int]]]:
+    def judge(self, text: str | None, evidence: int = 3) -> tuple[float, list[tuple[float, int, int]]]:
         terms, counts = self.counts(text)
-        key = (terms.tobytes(), counts.tobytes())
-        if key not in cache:
-            if len(cache) >= 100_000:
-                cache.clear()
-            near = self.index.search(terms, self.vector(terms, counts), self.k)
-            cache[key] = (self.calibrated(self.vote(near) if near else None), near[:evidence])
-        return cache[key]
+        near = self.index.search(terms, self.vector(terms, counts), self.k)
+        return self.calibrated(self.vote(near) if near else None), near[:evidence]
 
 
-def isotonic(good: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Rates of consecutive bins made non-decreasing by pooling adjacent violators; empty bins take a neighbour's rate."""
+def isotonic(good: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (share of votes, rate) from counts in equal bins: adjacent violators are pooled, and a pool's rate stands at its mean bin.
+
+    Between knots the rate is linear, from (0, 0) to (1, 1), so that more votes never score less and mostly score more.
+    """
     pools: list[list[float]] = []
-    for g, n in zip(good.tolist(), total.tolist()):
-        pools.append([g, n, 1])
+    for at, (g, n) in enumerate(zip(good.tolist(), total.tolist())):
+        if n:
+            pools.append([g, n, n * (at + 0.5) / len(good)])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            g2, n2, c2 = pools.pop()
-            pools[-1] = [pools[-1][0] + g2, pools[-1][1] + n2, pools[-1][2] + c2]
-    return np.repeat([g / n if n else 0.0 for g, n, _ in pools], [int(c) for _, _, c in pools])
+            top = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], top)]
+    return np.array([0.0, *(x / n for _, n, x in pools), 1.0]), np.array([0.0, *(g / n for g, n, _ in pools), 1.0])
+
+
+def g_statistic(n: np.ndarray, n1: np.ndarray, whole: float, toxic: float) -> np.ndarray:
+    """The G statistic of terms in ``n`` of ``whole`` rows, ``n1`` of them among the ``toxic`` rows."""
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
+
+    if not 0 < toxic < whole:
+        return np.zeros(len(n))
+    clean = whole - toxic
+    rest = whole - n
+    g = part(n1, n * toxic / whole) + part(n - n1, n * clean / whole) + part(toxic - n1, rest * toxic / whole) + part(clean - n + n1, rest * clean / whole)
+    return np.maximum(2 * g, 0.0)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -131,83 +167,78 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 5 == 0, F.lit(False))
 
 
+def _word_counts(texts: pd.Series) -> pd.DataFrame:
+    found = [Counter(WORDS.findall(t.lower())) for t in texts]
+    return pd.DataFrame({"words": [list(c) for c in found], "counts": [list(c.values()) for c in found]})
+
+
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    max_terms: int = 2048,
-    least_g: float = 40.0,
-    least_odds: float = 8.0,
-    least_docs: int = 8,
-    max_examples: int = 20_000,
-    max_broadcast_labels: int = 2_000_000,
+    max_examples: int = 2048,
     k: int = 15,
     bins: int = 40,
 ) -> ToxicityModel:
     """Learns from the labelled documents that aren't held out.
 
-    Term statistics and the calibration cover all those rows and document frequencies cover all of ``docs``.
-    The index holds a bounded sample of ``max_examples`` labelled rows with a term, chosen by a hash of the id.
-    Labels are broadcast only if there are no more than ``max_broadcast_labels``; else both sides are shuffled.
-    Null labels and ids are left out; of several labels of an id the largest counts. Without labels, or with
-    labels of one kind, there are no terms and every score is the share of toxic labels (0 without any).
+    ``max_examples`` labelled rows, chosen by a hash of the id, are the examples: they make the index, its words
+    the terms, and the calibration. Document frequencies cover all of ``docs``, and the terms' association with
+    the labels all training rows. Null labels and ids are left out; of several labels of an id the largest
+    counts, and of several documents of an id each is an example. Null texts count as empty. Without labels
+    every score is 0; with labels of one kind it comes from that kind's votes.
     """
     marked = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("__y")).where("__id is not null and __y is not null")
-    marked = marked.where(~held_out("__id")).groupBy("__id").agg(F.max("__y").alias("__y"))
-    marked = durable(marked, "labels")
+    marked = durable(marked.where(~held_out("__id")).groupBy("__id").agg(F.max("__y").alias("__y")), "labels")
     texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    n_labels = marked.count()
-    side = F.broadcast(marked) if n_labels <= max_broadcast_labels else marked
-    train = texts.join(side, "__id")
-
-    words = F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(r"\p{L}+"), F.lit(0)))
-    stats = durable(train.select("__y", F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("n1")).where(F.col("n") >= least_docs), "terms")
-    totals = train.agg(F.count(F.lit(1)), F.sum("__y")).first()
-    n, n1 = totals[0], totals[1] or 0
-
-    def part(seen: Column, whole: float, size: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen * n / (size * whole))).otherwise(0.0)
-
-    number: dict[str, int] = {}
-    if 0 < n1 < n:
-        a, b = F.col("n1").cast("double"), (F.col("n") - F.col("n1")).cast("double")
-        c, d = F.lit(float(n1)) - a, F.lit(float(n - n1)) - b
-        size, rest = a + b, c + d
-        g = 2 * (part(a, n1, size) + part(b, n - n1, size) + part(c, n1, rest) + part(d, n - n1, rest))
-        odds = (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))
-        best = stats.select("w", g.alias("g"), odds.alias("odds")).where((F.col("g") >= least_g) & (F.col("odds") >= least_odds)).orderBy(F.desc("g"), "w").limit(max_terms).collect()
-        number = {r["w"]: i for i, r in enumerate(best)}
-    model = ToxicityModel(number, np.ones(len(number)), BlockMaxIndex([], [], [], len(number)), n1 / n if n else 0.0, k)
-
-    @F.pandas_udf("struct<terms:array<int>,counts:array<double>>")
-    def count(rows: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.counts(t) for t in rows], columns=["terms", "counts"])
-
-    vectors = durable(texts.select("__id", count("__text").alias("v")).select("__id", "v.*"), "vectors")
-    sums = vectors.agg(F.count(F.lit(1))).first()[0]
-    df = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # max_terms rows
-    model.idf = np.array([np.log((1 + sums) / (1 + df.get(t, 0))) + 1 for t in range(len(number))])
-
-    known = vectors.join(side, "__id")
-    sample = known.where("size(terms) > 0").orderBy(F.xxhash64("__id"), "__id").limit(max_examples).collect()  # at most max_examples short rows
-    pairs = [(np.array(r["terms"], dtype=np.int64), np.array(r["counts"], dtype=float)) for r in sample]
-    model.index = BlockMaxIndex([r["__id"] for r in sample], [r["__y"] for r in sample], [(t, model.vector(t, c)) for t, c in pairs], len(number))
+
+    # Only ids meet the labels here, and only the chosen ones meet the texts: max_examples rows.
+    chosen = texts.select("__id").join(marked, "__id").orderBy(F.xxhash64("__id"), "__id").limit(max_examples)
+    chosen = durable(chosen.distinct(), "chosen")
+    count_words = F.pandas_udf(_word_counts, "struct<words:array<string>,counts:array<int>>")
+    sample = durable(texts.join(F.broadcast(chosen), "__id").select("__id", "__y", count_words("__text").alias("found")).select("__id", "__y", "found.*"), "examples")
+
+    rows = sample.orderBy("__id", F.xxhash64("words", "counts")).collect()  # max_examples texts' words
+    number = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["words"]}))}
+    model = ToxicityModel(number, np.ones(len(number)), BlockMaxIndex([], [], [], len(number)), 0.0, k)
+
+    numbers = docs.sparkSession.sparkContext.broadcast(number)  # the words of max_examples texts
+
+    @F.pandas_udf("array<int>")
+    def term_numbers(rows: pd.Series) -> pd.Series:
+        known = numbers.value
+        return pd.Series([[known[w] for w in set(WORDS.findall(t.lower())) if w in known] for t in rows], dtype=object)
+
+    vectors = durable(spread(texts).select("__id", term_numbers("__text").alias("terms")), "terms")
+    n_docs = vectors.count()
+    df = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each term
+    known = vectors.join(marked, "__id")
+    n, toxic = known.agg(F.count(F.lit(1)), F.sum("__y")).first()
+    seen = known.select("__y", F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("n1")).collect()  # a row for each term
+    in_docs, in_marked, in_toxic = (np.zeros(len(number)) for _ in range(3))
+    in_docs[[r["t"] for r in df]] = [r["n"] for r in df]
+    in_marked[[r["t"] for r in seen]] = [r["n"] for r in seen]
+    in_toxic[[r["t"] for r in seen]] = [r["n1"] for r in seen]
+    model.prior = (toxic or 0) / n if n else 0.0
+    model.weight = (np.log((1 + n_docs) / (1 + in_docs)) + 1) * np.sqrt(g_statistic(in_marked, in_toxic, float(n), float(toxic or 0)) + 0.1)
+
+    pairs = [model.numbered(dict(zip(r["words"], r["counts"]))) for r in rows]
+    model.index = BlockMaxIndex([r["__id"] for r in rows], [r["__y"] for r in rows], [(t, model.vector(t, c)) for t, c in pairs], len(number))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def without_itself(ids: pd.Series, terms: pd.Series, counts: pd.Series) -> pd.Series:
-        out, cache = [], {}
-        for i, t, c in zip(ids, terms, counts):
-            t, c = np.asarray(t, dtype=np.int64), np.asarray(c, dtype=float)
-            key = (t.tobytes(), c.tobytes())
-            if key not in cache:
-                cache[key] = model.index.search(t, model.vector(t, c), k + 1)
-            near = [x for x in cache[key] if x[1] != i][:k]
-            out.append(model.vote(near) if near else None)
+    def without_itself(ids: pd.Series, words: pd.Series, counts: pd.Series) -> pd.Series:
+        m, out = shared.value, []
+        for i, w, n in zip(ids, words, counts):
+            t, c = m.numbered(dict(zip(w, n)))
+            near = m.index.search(t, m.vector(t, c), k + 1)
+            near = [x for x in near if x[1] != i][:k]
+            out.append(m.vote(near) if near else None)
         return pd.Series(out, dtype="float64")
 
-    raw = known.select("__y", F.nanvl(without_itself("__id", "terms", "counts"), F.lit(None)).alias("raw"))
+    raw = sample.repartition(32).select("__y", F.nanvl(without_itself("__id", "words", "counts"), F.lit(None)).alias("raw"))
     binned = raw.groupBy(F.when(F.col("raw").isNotNull(), F.least(F.floor(F.col("raw") * bins), F.lit(bins - 1))).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("n1")).collect()  # bins + 1 rows
     good, total = np.full(bins, 0.0), np.full(bins, 0.0)
     model.no_term = model.prior
@@ -217,22 +248,31 @@ def fit_toxicity(
         else:
             good[r["bin"]], total[r["bin"]] = r["n1"], r["n"]
     centre = (np.arange(bins) + 0.5) / bins  # each bin also counts one example at its own rate, so that bins without examples have one
-    model.steps = isotonic(good + centre, total + 1)
+    model.knots = isotonic(good + centre, total + 1)
     return model
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """``df`` with the struct ``out``: score (0 to 1) and evidence, the three nearest examples (cosine, id, label).
 
-    Texts without a term, null and empty ones among them, have the share of toxic labels among labelled texts
-    without a term as their score, and no evidence. Rows stay as they are, repeated ones too.
+    Texts that share no word with an example, null and empty ones among them, have the share of toxic labels
+    among such examples (all examples, if there are none) as their score, and no evidence. Rows stay as they
+    are, repeated ones too; whole texts of any length count. A column named ``out`` is replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_terms and max_examples
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples
 
     @F.pandas_udf("struct<score:double,evidence:array<struct<cosine:double,id:long,label:int>>>")
-    def judge(texts: pd.Series) -> pd.DataFrame:
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
-        found = [shared.value.judge(t if isinstance(t, str) else None, cache) for t in texts]
-        return pd.DataFrame({"score": [s for s, _ in found], "evidence": [[dict(cosine=c, id=i, label=y) for c, i, y in e] for _, e in found]})
-
-    return df.withColumn(out, judge(F.col(f"`{text_col}`")))
+        for texts in batches:
+            found = []
+            for t in texts:
+                t = t if isinstance(t, str) else ""
+                if t not in cache:
+                    if len(cache) >= 2_000 or len(t) > 20_000:
+                        cache.clear()
+                    cache[t] = shared.value.judge(t)
+                found.append(cache[t])
+            yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [[dict(cosine=c, id=i, label=y) for c, i, y in e] for _, e in found]})
+
+    return spread(df).withColumn(out, judge(F.col(f"`{text_col}`")))

@@ -1,7 +1,9 @@
 """Scans, encoding, toxicity and surrogates against brute force, and their odd rows."""
 
+import collections
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -163,13 +165,50 @@ def test_block_max_search_is_exact():
         assert [g[1] for g in got] == [w[1] for w in want] and np.allclose([g[0] for g in got], [w[0] for w in want])
 
 
-def test_toxicity_held_out(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    model = toxicity.fit_toxicity(docs, labels, least_g=15.0, least_docs=4)
-    got = toxicity.score_toxicity(docs, model).join(labels, "doc_id").where(toxicity.held_out()).select("toxic", "toxicity.score").collect()
-    assert np.mean([(r.score >= 0.5) == (r.toxic == 1) for r in got]) > 0.95
-    assert min(r.score for r in got) >= 0 and max(r.score for r in got) <= 1
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_registered_toxicity_equals_brute_force(spark, sf):
+    path = f"/root/testdata/{sf}"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    counts = {i: collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for i, t in docs.items()}
+    train = [i for i in sorted(labels) if i in docs and zlib.crc32(str(i).encode()) % 5]
+    words = {w: n for n, w in enumerate(sorted({w for i in train for w in counts[i]}))}
+    table = np.zeros((len(docs), len(words)))
+    row = {i: n for n, i in enumerate(sorted(docs))}
+    for i, c in counts.items():
+        for w, n in c.items():
+            if w in words:
+                table[row[i], words[w]] = 1 + np.log(n)
+    at, y = [row[i] for i in train], np.array([labels[i] for i in train])
+    has = table > 0
+    n, n1 = has[at].sum(axis=0), (has[at] * y[:, None]).sum(axis=0)
+    g = np.zeros(len(words))
+    for seen, size, side in ((n1, n, y.sum()), (n - n1, n, (1 - y).sum()), (y.sum() - n1, len(y) - n, y.sum()), ((1 - y).sum() - n + n1, len(y) - n, (1 - y).sum())):
+        g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(size * side / len(y), 1e-12)), 0)
+    table *= (np.log((1 + len(docs)) / (1 + has.sum(axis=0))) + 1) * np.sqrt(np.maximum(g, 0) + 0.1)
+    table /= np.maximum(np.sqrt((table**2).sum(axis=1, keepdims=True)), 1e-300)
+    cosine = np.round(table @ table[at].T, 9)
+    ids = np.array(train)
+
+    def vote(scores):
+        near = [j for j in np.lexsort((ids, -scores))[:15] if scores[j] > 0]
+        w = 1 / (1.05 - np.minimum(1, scores[near]))
+        return ((y.mean() + w @ y[near]) / (1 + w.sum()), near) if len(near) else (None, near)
+
+    own = [vote(np.where(np.arange(len(ids)) == j, -1, cosine[at[j]]))[0] for j in range(len(ids))]
+    bins = [None if v is None else min(int(v * 40), 39) for v in own]
+    good, total = (np.array([sum(f(j) for j in range(len(ids)) if bins[j] == b) for b in range(40)], dtype=float) for f in (lambda j: y[j], lambda j: 1))
+    knots = toxicity.isotonic(good + (np.arange(40) + 0.5) / 40, total + 1)
+    none = [y[j] for j in range(len(ids)) if bins[j] is None]
+    got = queries.op8_toxicity(spark, path).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        raw, near = vote(cosine[row[r.doc_id]])
+        want = (np.mean(none) if none else y.mean()) if raw is None else np.interp(raw, *knots)
+        assert abs(r.score - want) < 1e-6 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert [e.id for e in r.evidence] == [train[j] for j in near[:3]]
+    held = [(r.predicted, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    assert len({r.score for r in got}) > 5 and np.mean([a == b for a, b in held]) > 0.95
 
 
 def test_toxicity_odd_tables(spark, odd):
@@ -181,8 +220,8 @@ def test_toxicity_odd_tables(spark, odd):
 
 
 def test_isotonic_is_monotone():
-    rates = toxicity.isotonic(np.array([1.0, 5, 2, 9, 8]), np.array([10.0, 10, 10, 10, 10]))
-    assert rates.tolist() == [0.1, 0.35, 0.35, 0.85, 0.85]
+    shares, rates = toxicity.isotonic(np.array([1.0, 5, 2, 9, 8]), np.array([10.0, 10, 10, 10, 10]))
+    assert np.allclose(shares, [0, 0.1, 0.4, 0.8, 1]) and np.allclose(rates, [0, 0.1, 0.35, 0.85, 1])
 
 
 def test_surrogates_keep_type_and_identity(spark, odd):
