@@ -132,17 +132,16 @@ def _license_sql() -> str:
     """The license scan in SQL: words are put between blanks of their own, so that no rule needs to look ahead."""
     rows = []
     for r in licenses.rules():
-        pattern = r["pattern"].removesuffix("(?= )").lstrip().replace(" ?", "@").replace(" ", "  ").replace("@", "(?:  )?")
+        pattern = r["pattern"].removeprefix(" (").removesuffix(")(?= )").replace(" ?", "@").replace(" ", "  ").replace("@", "(?:  )?")
         rows.append(f"({r['rule']}, '{r['label']}', '{r['kw']}', ' {pattern} ', {r['priority']}, {str(r['base']).lower()})")
-    gate = " OR ".join(f"contains(lower(t), '{g}')" for g in licenses.GATES)
     word = r"[0-9a-z\x{80}-\x{10FFFF}]+"
     sure = "[" + ", ".join(str(s) for s in licenses.SURENESS) + "]"
     return f"""WITH rules(rule, label, kw, pattern, priority, base) AS (VALUES {", ".join(rows)}),
     docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     counted AS (SELECT doc_id, len(regexp_extract_all(t, '{word.replace("a-z", "A-Za-z")}')) AS n_words FROM docs),
-    gated AS (SELECT doc_id, regexp_extract_all(translate(t, '{licenses.UPPER}', '{licenses.LOWER}'), '{word}') AS words FROM docs WHERE {gate}),
+    worded AS (SELECT doc_id, regexp_extract_all(translate(t, '{licenses.UPPER}', '{licenses.LOWER}'), '{word}') AS words FROM docs),
     met AS (SELECT doc_id, rule, label, priority, base, regexp_extract_all(norm, pattern) AS m, string_split_regex(norm, pattern) AS s
-        FROM (SELECT *, ' ' || array_to_string(words, '  ') || ' ' AS norm FROM gated) JOIN rules ON list_contains(words, kw)),
+        FROM (SELECT *, ' ' || array_to_string(words, '  ') || ' ' AS norm FROM worded) JOIN rules ON list_contains(words, kw)),
     each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM met WHERE len(m) > 0),
     hits AS (SELECT doc_id, rule, label, priority, base,
         (length(x) - length(replace(x, ' ', ''))) // 2 AS a, (length(m[i]) - length(replace(m[i], ' ', ''))) // 2 AS n

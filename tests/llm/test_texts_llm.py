@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -83,6 +84,36 @@ def shortest(parsed, last):
     return out
 
 
+def test_license_scan_of_a_long_text(spark):
+    r = licenses.scan_licenses(spark.createDataFrame([("mit license " * 83_000 + "gnu general public license version 3",)], "text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.labels) == (166_006, 83_001, 0, 166_001, "gpl,gpl-3.0,mit")
+    assert len(r.license_hits) == 83_000 + 82_999 + 1  # mit license, license mit, license gnu ...
+
+
+def brute_kept(hits):
+    def covers(o, h):
+        return o[0] <= h[0] and o[1] >= h[1] and o[2] <= h[2] and (o[0] < h[0] or o[1] > h[1] or o[2] < h[2] or o[3] < h[3])
+
+    return [h for h in hits if not any(covers(o, h) for o in hits)]
+
+
+def test_license_hits_equal_brute_force(spark):
+    rng = random.Random(3)
+    parts = ["mit", "license", "licensed under", "the", "apache", "2.0", "gnu general public license", "version 3", "creative commons", "cc by 4.0", "bsd", "see license", "all rights reserved", "word"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(900))) for _ in range(12)]
+    got = licenses.scan_licenses(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    for r in got:
+        words = re.findall(r"[0-9a-z]+", r.text.lower())
+        norm, hits = " " + " ".join(words) + " ", []
+        for rule in licenses.rules():
+            for m in re.finditer(rule["pattern"], norm):
+                a = norm[: m.start()].count(" ")
+                hits.append((a, a + m.group().count(" "), rule["priority"], rule["rule"], rule["label"], rule["base"]))
+        assert sorted((h.start, h.end, h.priority, h.rule, h.label) for h in r.license_hits) == sorted(h[:5] for h in brute_kept(hits))
+        base = [h for h in hits if h[5]]
+        assert (r.n_base, r.first_word, r.last_word) == (len(base), min((h[0] for h in base), default=None), max((h[0] for h in base), default=None))
+
+
 def test_every_license_rule_runs_on_its_match_alone(spark):
     texts = [shortest(re._parser.parse(r["pattern"]), last).strip() for r in licenses.rules() for last in (False, True)]
     got = licenses.scan_licenses(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
