@@ -136,7 +136,8 @@ SENTENCES = [
     ("mpl-1.1", "rights", "software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied see the license for the specific language governing rights and limitations", 1),
     ("mpl-tri", "alternatively", "alternatively the contents of this file may be used under the terms of either the gnu general public license", 0),
     ("epl", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license", 0),
-    ("cddl", "cddl", "(?:common development and distribution license|cddl)", 3),
+    ("cddl", "distribution", "common development and distribution license", 3),
+    ("cddl", "cddl", "cddl", 3),
     ("cpl-1.0", "common", "common public license(?: version| v)? 1 0", 1),
     ("ipl-1.0", "ibm", "ibm public license(?: version| v)? 1 0", 1),
     ("eupl", "eupl", "licensed under the eupl", 1),
@@ -163,14 +164,14 @@ SENTENCES = [
     ("cc0-1.0", "waived", "(?:has|have) waived all copyright and related or neighboring rights", 0),
     ("cc0-1.0", "dedicated", "dedicated (?:this work )?to the public domain by waiving all", 0),
     ("public-domain", "domain", "(?:is|are|was) (?:hereby )?in the public domain", 1),
-    ("public-domain", "disclaims", "the author(?:s)? disclaims? copyright to this source code", 0),
+    ("public-domain", "copyright", "the author(?:s)? disclaims? copyright to this source code", 0),
     ("ofl-1.1", "font", "this font software is licensed under the sil open font license", 0),
     ("ofl-1.1", "reserved", "with reserved font name", 1),
     ("odbl", "odbl", "open database license odbl", 1),
     ("pddl-1.0", "pddl", "(?:open data commons )?public domain dedication and license pddl", 0),
-    ("odc-by", "odc", "open data commons attribution license", 0),
-    ("ogl-uk", "ogl", "open government licen[cs]e(?: version| v)? (?:1|2|3)", 1),
-    ("etalab", "etalab", "(?:etalab )?licence ouverte(?: open licence)?", 1),
+    ("odc-by", "attribution", "open data commons attribution license", 0),
+    ("ogl-uk", "government", "open government licen[cs]e(?: version| v)? (?:1|2|3)", 1),
+    ("etalab", "ouverte", "(?:etalab )?licence ouverte(?: open licence)?", 1),
     ("bsl", "business", "the business source license this document or the license is not an open source license", 0),
     ("sspl", "service", "if you make the functionality of the program or a modified version available to third parties as a service", 0),
     ("elastic", "hosted", "you may not provide the software to third parties as a hosted or managed service", 0),
@@ -185,7 +186,7 @@ SENTENCES = [
     ("proprietary", "trade", "contains (?:valuable )?trade secrets", 2),
     ("proprietary", "eula", "end user license agreement eula", 1),
     ("commercial", "evaluation", "evaluation (?:version|license) only", 2),
-    ("patent-grant", "patents", "additional grant of patent rights", 1),
+    ("patent-grant", "patent", "additional grant of patent rights", 1),
     ("cla", "contributor", "contributor license agreement", 3),
     ("spdx-file", "spdx", "spdx filecopyrighttext", 2),
     ("see-license", "copying", "see (?:the )?(?:file )?copying(?: lesser| lib)?(?: for details)?", 3),
