@@ -190,75 +190,111 @@ def _buckets(texts: DataFrame, bucket_limit: int) -> DataFrame:
     return durable(bands.join(sizes, ["band", "sample"]), "bands")
 
 
-def _candidate_pairs(shared: DataFrame, small: int = 32, centres: int = 4) -> DataFrame:
-    """Pairs (u, v) of text keys to verify: all of a small bucket, and in a large one each text with its centres.
+HUBS = 4
 
-    The latter only tell which large buckets are of one component; ``_open_links`` compares the others in full.
+
+def _candidate_pairs(shared: DataFrame, small: int = 32) -> DataFrame:
+    """Pairs (u, v) of text keys to verify: all of a small bucket, and in a large one each text with its hubs.
+
+    Hubs are the texts that meet the most others over all bands, one in each of four hash classes. They only
+    join the bulk of a large group; ``_prefix_links`` finds all its other links.
     """
     few = shared.where(F.col("n") <= small)
     x, y = few.alias("x"), few.alias("y")
     met = (F.col("x.band") == F.col("y.band")) & (F.col("x.sample") == F.col("y.sample")) & (F.col("x.key") < F.col("y.key"))
     pairs = x.join(y, met).select(F.col("x.key").alias("u"), F.col("y.key").alias("v"))
 
-    # Of a large group the texts that meet the most others over all bands are its centres; a text from which copies were made is one.
     weight = shared.groupBy("key").agg(F.sum("n").alias("weight"))
-    many = shared.where(F.col("n") > small).join(weight, "key")
-    nth = F.row_number().over(Window.partitionBy("band", "sample").orderBy(F.desc("weight"), "key"))
-    middle = many.withColumn("nth", nth).where(F.col("nth") <= centres).select("band", "sample", F.col("key").alias("centre"))
-    stars = many.join(middle, ["band", "sample"]).where("key <> centre").select(F.least("key", "centre").alias("u"), F.greatest("key", "centre").alias("v"))
-    return pairs.unionByName(stars).distinct()
+    many = durable(shared.where(F.col("n") > small).join(weight, "key"), "large")
+    of_class = [F.pmod(F.xxhash64("key"), F.lit(HUBS)) == j for j in range(HUBS)]
+    best = [F.max_by(F.when(c, F.col("key")), F.when(c, F.struct("weight", "key"))) for c in of_class]
+    hubs = durable(many.groupBy("band", "sample").agg(F.array_compact(F.array(*best)).alias("hubs")), "hubs")
+    stars = many.join(hubs, ["band", "sample"]).select("key", F.explode("hubs").alias("hub")).where("key <> hub")
+    return pairs.unionByName(stars.select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"))).distinct()
 
 
-def links_between(keys: list[str], components: list[str], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[str, str]]:
+def links_between(keys: list, components: list, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float, pivots: int = 16) -> list[tuple]:
     """Verified links that join the components of rows ``left`` and ``right``: a spanning set of all links between them.
 
-    The parity of the shingles in each of some bins differs in no more bins than the sets differ in shingles,
-    so pairs that differ in more bins than the similarity allows are discarded without loss.
+    A set's fingerprint holds the parity of its shingles in each of some bins, so that two fingerprints differ
+    in no more bits than the sets differ in shingles. The pivot distance table holds each row's Hamming
+    distances to the fingerprints of some rows, and its size, which is its distance from the empty set. Pairs
+    with a coordinate difference above what the similarity allows are discarded without loss, then pairs with
+    such a Hamming distance; the survivors' sets are compared.
     """
     size = np.array([len(s) for s in sets])
     bins = 1 << max(10, int(size.max(initial=1)).bit_length())
-    parity = np.stack([np.packbits((np.bincount(s.astype(np.uint64) % np.uint64(bins), minlength=bins) & 1).astype(np.uint8)).view(np.uint64) for s in sets])
-    label = np.unique(np.array(components, dtype=str), return_inverse=True)[1]
+    bits = np.stack([np.packbits((np.bincount(s.astype(np.uint64) % np.uint64(bins), minlength=bins) & 1).astype(np.uint8)).view(np.uint64) for s in sets])
+    references = bits[np.linspace(0, len(bits) - 1, min(pivots, len(bits))).astype(int)]
+    table = np.stack([size, *(np.bitwise_count(bits ^ r).sum(axis=1, dtype=np.int64) for r in references)], axis=1)
+    label = np.unique(np.array(components), return_inverse=True)[1]
     share = (1 - similarity) / (1 + similarity)
     out = []
     for i in left.tolist():
         others = right[label[right] != label[i]]
-        apart = np.bitwise_count(parity[others] ^ parity[i]).sum(axis=1, dtype=np.int64)
-        for j in others[apart <= share * (size[others] + size[i]) + 1e-6].tolist():
+        most = share * (size[others] + size[i]) + 1e-6
+        near = np.abs(table[others] - table[i]).max(axis=1, initial=0) <= most
+        others, most = others[near], most[near]
+        near = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most
+        for j in others[near].tolist():
             if label[i] == label[j]:
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            union = int(size[i] + size[j]) - both
-            if not union or both / union >= similarity:
+            if both >= similarity * (size[i] + size[j] - both):
                 out.append((keys[i], keys[j]))
                 label[label == label[j]] = label[i]
     return out
 
 
-def _open_links(shared: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, small: int = 32, part_rows: int = 1024, part_shingles: int = 1 << 20) -> DataFrame:
-    """Links (u, v) within large buckets whose texts aren't of one component of ``nodes`` yet.
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets have at least this Jaccard similarity."""
+    left, right = sets.select(F.col("key").alias("u"), F.col("set").alias("a")), sets.select(F.col("key").alias("v"), F.col("set").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    alike = both >= similarity * (F.size("a") + F.size("b") - both)
+    return pairs.join(left, "u").join(right, "v").where(alike).select("u", "v")
+
+
+def _prefix_links(shared: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, small: int = 32, part_rows: int = 512, part_shingles: int = 1 << 19) -> DataFrame:
+    """Links (u, v) among the texts of large buckets that aren't of one component of ``nodes`` yet, with none left out.
 
-    A bucket is cut into parts by rows and shingles; each two parts meet in a task of their own. What is sent
-    on is linear, the comparisons are quadratic in the bucket.
+    Sets of n shingles and Jaccard similarity s or more have, in any common order of the shingles, one in
+    common among the first n - ceil(s n) + 1 of each. Rare shingles go first, so that a passage which many
+    texts share is in few prefixes. Texts meet by the shingles of their prefixes; a shingle whose texts are of
+    one component is dropped. Few texts are paired at once. More are cut into parts by rows and shingles, and
+    each two parts meet in a task of their own; what it sends on is linear.
     """
-    size = sets.select("key", F.size("set").alias("size"))
-    many = shared.where(F.col("n") > small).join(nodes, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    many = durable(many.join(size, "key"), "large")
+    many = shared.where(F.col("n") > small).select("band", "sample", "key").join(nodes, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    ends = many.groupBy("band", "sample").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    texts = many.join(ends, ["band", "sample"]).select("key", "component").distinct()
+    each = durable(texts.join(sets, "key").select("key", "component", F.size("set").alias("size"), F.explode("set").alias("s")), "open-shingles")
+    counts = durable(each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shingle-counts")
+    ranked = each.join(counts, "s").groupBy("key", "component", "size").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("rare"))
+    # Shingles of one text only stand before all others and meet nothing.
+    first = (F.size("rare") - F.ceil(similarity * F.col("size") - 1e-9) + 1).cast("int")
+    prefix = ranked.withColumn("first", first).where("first > 0").select("key", "component", "size", F.explode(F.slice("rare", F.lit(1), F.col("first"))).alias("r"))
+    prefix = durable(prefix.select("key", "component", "size", "r.s"), "prefixes")
     pieces = F.greatest(F.ceil(F.count(F.lit(1)) / part_rows), F.ceil(F.sum("size") / part_shingles)).cast("int")
-    stats = many.groupBy("band", "sample").agg(pieces.alias("parts"), F.min("component").alias("low"), F.max("component").alias("high"))
-    unlike = durable(stats.where("low <> high").select("band", "sample", "parts"), "open")
-    rows = many.join(unlike, ["band", "sample"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    groups = prefix.groupBy("s").agg(F.count(F.lit(1)).alias("n"), pieces.alias("parts"), F.min("component").alias("low"), F.max("component").alias("high"))
+    groups = durable(groups.where("low <> high").select("s", "n", "parts"), "prefix-groups")
+    met = durable(prefix.join(groups, "s"), "prefix-rows")
+
+    few = met.where(F.col("n") <= small)
+    x, y = few.alias("x"), few.alias("y")
+    apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+    sized = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-9
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & apart & sized).select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct()
+
+    rows = met.where(F.col("n") > small).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("band", "sample", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "component", "key")
-    rows = durable(rows, "parts").join(sets, "key")
+    rows = rows.select("s", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "component", "key").join(sets, "key")
+    kind = sets.schema["key"].dataType.simpleString()
 
     def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = key[-2], key[-1]
-        at = [np.flatnonzero((pdf["part"] == p).to_numpy()) for p in (low, high)]
+        at = [np.flatnonzero((pdf["part"] == p).to_numpy()) for p in key[-2:]]
         found = links_between(pdf["key"].tolist(), pdf["component"].tolist(), [np.asarray(s, dtype=np.int64) for s in pdf["set"]], at[0], at[1], similarity)
         return pd.DataFrame(found, columns=["u", "v"], dtype=object)
 
-    return rows.groupBy("band", "sample", "low", "high").applyInPandas(link, "u string, v string")
+    return verified(durable(pairs, "prefix-pairs"), sets, similarity).unionByName(rows.groupBy("s", "low", "high").applyInPandas(link, f"u {kind}, v {kind}"))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bucket_limit: int = 256) -> DataFrame:
@@ -269,16 +305,16 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``sampled_fingerprints``; 12 bands find a pair of similarity 0.8 with probability 0.9998). Candidates are
     verified: they link if the Jaccard similarity of their sets of ``words``-word shingles is at least
     ``similarity``. Groups are the components of the links. In a group of more than 32 texts that share a
-    sample each text is first compared with the four of them that meet the most texts over all bands; if that
-    leaves the group in several components, all its pairs of different components are compared.
+    sample each text is first compared with four others; where that leaves several components, all links
+    among the texts of such groups are found by prefixes and pivot distances (``_prefix_links``).
 
     Rows are told apart by id and a hash of the whole row. Null ids count as the largest. Of rows that are
-    wholly equal one stays. Null texts count as empty; texts without a word form one group. An empty table
-    gives an empty result; extra columns of any name pass through.
+    wholly equal one stays. Null texts count as empty; texts without a word form one group. Texts are compared
+    whole. An empty table gives an empty result; extra columns of any name pass through.
     """
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     slim = docs.select(F.col(f"`{id_col}`").alias("__id"), row_hash.alias("__row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    slim = slim.withColumn("key", F.md5(F.col("__text").cast("binary")))
+    slim = slim.withColumn("key", F.unhex(F.md5(F.col("__text").cast("binary"))))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -298,20 +334,16 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     @F.pandas_udf("array<long>")
     def shingle_set(rows: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, words)).astype(np.int64) for t in rows], dtype=object)
+        hashes = [np.unique(shingle_hashes(t, words)).astype(np.int64) for t in rows]
+        return pd.Series([h if len(h) else np.zeros(1, np.int64) for h in hashes], dtype=object)  # texts without a word are alike
 
     owner = rows.groupBy("key").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("o"))
     one = owner.join(wanted, "key").select(F.col("o.__id").alias("__id"), F.col("o.__row").alias("__row"), "key")
     source = slim.drop("key").alias("s").join(one.alias("o"), F.col("s.__id").eqNullSafe(F.col("o.__id")) & (F.col("s.__row") == F.col("o.__row")))
     sets = durable(source.select("o.key", shingle_set("s.__text").alias("set")).dropDuplicates(["key"]), "sets")
-    left, right = sets.select(F.col("key").alias("u"), F.col("set").alias("a")), sets.select(F.col("key").alias("v"), F.col("set").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    union = F.size("a") + F.size("b") - both
-    alike = F.when(union == 0, 1.0).otherwise(both / union)
-    edges = durable(pairs.join(left, "u").join(right, "v").where(alike >= similarity).select("u", "v"), "near")
-
+    edges = durable(verified(pairs, sets, similarity), "near")
     nodes = durable(connected_components(edges).withColumnRenamed("node", "key"), "first-nodes")
-    more = durable(_open_links(shared, nodes, sets, similarity), "open-links")
+    more = durable(_prefix_links(shared, nodes, sets, similarity), "prefix-links")
     if not more.isEmpty():
         nodes = connected_components(more.unionByName(nodes.select(F.col("key").alias("u"), F.col("component").alias("v")))).withColumnRenamed("node", "key")
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))

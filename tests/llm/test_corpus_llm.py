@@ -103,31 +103,33 @@ def test_near_copies_go_and_others_stay(spark):
 def test_near_copies_among_texts_with_a_shared_passage(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
-    passage = [word() for _ in range(170)]
+    passage = [word() for _ in range(400)]
     texts = []
-    for i in range(150):
-        own = [word() for _ in range(30)]
+    for i in range(310):
+        own = [word() for _ in range(70)]
         texts.append(" ".join(passage + own))
         if i % 3 == 0:
-            texts.append(" ".join(passage + own[:14] + [word() for _ in range(16)]))
+            texts.append(" ".join(passage + own[:33] + [word() for _ in range(37)]))
     got = {r.doc_id for r in simhash.simhash_dedup(docs(spark, texts)).collect()}
     sets = [shingles(t) for t in texts]
     linked = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
-    assert len(linked) == 50
+    assert len(linked) == 104
     assert got == set(brute_components(range(len(texts)), linked).values())
 
 
-@pytest.mark.parametrize("limit", [4, 1024])
-def test_open_buckets_are_compared_in_parts(spark, limit):
-    sets = [[k, *range(100, 100 + 9 * k)] for k in range(1, 40)] + [[], []]
-    keys = [f"k{i:02}" for i in range(len(sets))]
-    shared = spark.createDataFrame([(0, 7, k, 99) for k in keys], "band int, sample long, key string, n long")
+@pytest.mark.parametrize(("small", "rows"), [(32, 512), (2, 7), (2, 512)])
+def test_prefix_links_are_all_links(spark, small, rows):
+    rng = random.Random(1)
+    sets = [sorted({k, *range(100, 100 + 9 * k)}) for k in range(1, 40)]
+    sets += [sorted({*rng.sample(range(60), 40), *rng.sample(range(1000, 1400), 3)}) for _ in range(60)] + [[0], [0]]
+    keys = [f"k{i:03}" for i in range(len(sets))]
+    shared = spark.createDataFrame([(0, 7, k, 999) for k in keys], "band int, sample long, key string, n long")
     frame = spark.createDataFrame(list(zip(keys, sets)), "key string, set array<long>")
-    nodes = spark.createDataFrame([], "key string, component string")
-    found = [(r.u, r.v) for r in simhash._open_links(shared, nodes, frame, 0.8, part_rows=limit).collect()]
-    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    linked = [(keys[i], keys[j]) for i in range(len(sets)) for j in range(i) if alike(set(sets[i]), set(sets[j])) >= 0.8]
-    assert brute_components(keys, found) == brute_components(keys, linked)
+    linked = [(keys[i], keys[j]) for i in range(len(sets)) for j in range(i) if len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= 0.8]
+    for known in ([], linked[::2]):
+        nodes = spark.createDataFrame([(k, c) for k, c in brute_components(keys, known).items()], "key string, component string")
+        found = [(r.u, r.v) for r in simhash._prefix_links(shared, nodes, frame, 0.8, small=small, part_rows=rows).collect()]
+        assert brute_components(keys, found + known) == brute_components(keys, linked)
 
 
 def test_dedup_odd_rows(spark, odd):
