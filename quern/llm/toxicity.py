@@ -16,7 +16,6 @@ A score depends on the text alone: equal texts have equal scores.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,7 +27,13 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import durable, spread
 
-WORDS = re.compile(r"[^\W\d_]+")
+#: Of a text in lower case and UTF-8: letters and whatever isn't ASCII make words, all else is a blank.
+_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """A text's words in lower case, in order: runs of ASCII letters and of characters beyond ASCII."""
+    return (text or "").lower().encode("utf-8", "replace").translate(_LETTERS).split()
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -97,7 +102,7 @@ class BlockMaxIndex:
 class ToxicityModel:
     """What scoring needs; its size is bounded by the ``max_examples`` texts whose words it holds."""
 
-    number: dict[str, int]
+    number: dict[bytes, int]
     weight: np.ndarray
     index: BlockMaxIndex
     prior: float
@@ -106,9 +111,9 @@ class ToxicityModel:
     no_term: float = 0.0
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        return self.numbered(Counter(WORDS.findall((text or "").lower())))
+        return self.numbered(Counter(words_of(text)))
 
-    def numbered(self, found: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    def numbered(self, found: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array([self.number.get(w, -1) for w in found], dtype=np.int64)
         order = np.argsort(terms, kind="stable")[(terms < 0).sum() :]
         return terms[order], np.array(list(found.values()), dtype=float)[order]
@@ -168,7 +173,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _word_counts(texts: pd.Series) -> pd.DataFrame:
-    found = [Counter(WORDS.findall(t.lower())) for t in texts]
+    found = [Counter(words_of(t)) for t in texts]
     return pd.DataFrame({"words": [list(c) for c in found], "counts": [list(c.values()) for c in found]})
 
 
@@ -197,11 +202,12 @@ def fit_toxicity(
     # Only ids meet the labels here, and only the chosen ones meet the texts: max_examples rows.
     chosen = texts.select("__id").join(marked, "__id").orderBy(F.xxhash64("__id"), "__id").limit(max_examples)
     chosen = durable(chosen.distinct(), "chosen")
-    count_words = F.pandas_udf(_word_counts, "struct<words:array<string>,counts:array<int>>")
+    count_words = F.pandas_udf(_word_counts, "struct<words:array<binary>,counts:array<int>>")
     sample = durable(texts.join(F.broadcast(chosen), "__id").select("__id", "__y", count_words("__text").alias("found")).select("__id", "__y", "found.*"), "examples")
 
-    rows = sample.orderBy("__id", F.xxhash64("words", "counts")).collect()  # max_examples texts' words
-    number = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["words"]}))}
+    rows = sample.orderBy("__id", F.xxhash64("words", "counts")).toArrow()  # max_examples texts' words
+    words = rows["words"].combine_chunks()
+    number = {w: i for i, w in enumerate(sorted(words.flatten().unique().to_pylist()))}
     model = ToxicityModel(number, np.ones(len(number)), BlockMaxIndex([], [], [], len(number)), 0.0, k)
 
     numbers = docs.sparkSession.sparkContext.broadcast(number)  # the words of max_examples texts
@@ -209,23 +215,23 @@ def fit_toxicity(
     @F.pandas_udf("array<int>")
     def term_numbers(rows: pd.Series) -> pd.Series:
         known = numbers.value
-        return pd.Series([[known[w] for w in set(WORDS.findall(t.lower())) if w in known] for t in rows], dtype=object)
+        return pd.Series([[known[w] for w in set(words_of(t)) if w in known] for t in rows], dtype=object)
 
     vectors = durable(spread(texts).select("__id", term_numbers("__text").alias("terms")), "terms")
     n_docs = vectors.count()
-    df = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each term
+    df = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toArrow()  # a row for each term
     known = vectors.join(marked, "__id")
     n, toxic = known.agg(F.count(F.lit(1)), F.sum("__y")).first()
-    seen = known.select("__y", F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("n1")).collect()  # a row for each term
+    seen = known.select("__y", F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("n1")).toArrow()  # a row for each term
     in_docs, in_marked, in_toxic = (np.zeros(len(number)) for _ in range(3))
-    in_docs[[r["t"] for r in df]] = [r["n"] for r in df]
-    in_marked[[r["t"] for r in seen]] = [r["n"] for r in seen]
-    in_toxic[[r["t"] for r in seen]] = [r["n1"] for r in seen]
+    in_docs[df["t"].to_numpy()] = df["n"].to_numpy()
+    in_marked[seen["t"].to_numpy()], in_toxic[seen["t"].to_numpy()] = seen["n"].to_numpy(), seen["n1"].to_numpy()
     model.prior = (toxic or 0) / n if n else 0.0
     model.weight = (np.log((1 + n_docs) / (1 + in_docs)) + 1) * np.sqrt(g_statistic(in_marked, in_toxic, float(n), float(toxic or 0)) + 0.1)
 
-    pairs = [model.numbered(dict(zip(r["words"], r["counts"]))) for r in rows]
-    model.index = BlockMaxIndex([r["__id"] for r in rows], [r["__y"] for r in rows], [(t, model.vector(t, c)) for t, c in pairs], len(number))
+    pairs = [model.numbered(dict(zip(w.as_py(), c.as_py()))) for w, c in zip(rows["words"], rows["counts"])]
+    model.index = BlockMaxIndex(rows["__id"].to_pylist(), rows["__y"].to_pylist(), [(t, model.vector(t, c)) for t, c in pairs], len(number))
+    del rows, words, pairs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
