@@ -1,7 +1,8 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
 Detected entities are e-mail addresses, phone, card, social security, IBAN and IPv4
-numbers, and names after a title or with a known given name. A surrogate keeps type,
+numbers, and names after a title or with a known given name, with all later mentions
+of their parts in the same text. A surrogate keeps type,
 length, punctuation and letter case; card numbers keep their check digit's validity,
 IBANs stay valid, octets stay octets, given names keep gender and script and family
 names script. The same entity gets the same surrogate in every document and format
@@ -10,8 +11,8 @@ names script. The same entity gets the same surrogate in every document and form
 Numbers and addresses are mapped by a keyed permutation of all values of their
 format, so different ones stay different. Family names have no such enumeration:
 they are hashed to syllables, as many as keep collisions few, and a check over all
-distinct entities of the corpus finds surrogates that two share (or that equal the
-entity). All but one of those move on to the next attempt until none is shared. The
+distinct entities of the corpus finds surrogates that two share, or that a real name
+has. All but one of those move on to the next attempt until none is shared. The
 entities that moved are few by construction and go to the tasks as a table.
 """
 
@@ -29,8 +30,8 @@ from quern.llm.common import durable
 
 # Given names by script and gender.
 GIVEN = {
-    ("latin", "f"): "Alice Anna Barbara Camille Carla Charlotte Clara Elena Elizabeth Emma Greta Hannah Helena Ingrid Isabel Julia Laura Linda Lucia Maria Marta Nadine Patricia Sophie".split(),
-    ("latin", "m"): "Albert Antonio Carlos Charles Daniel David Diego Edward Felix Frank George Hans Henri Jacques James Jorge Karl Luis Martin Michael Pedro Robert Thomas William".split(),
+    ("latin", "f"): "Alice Anna Barbara Camille Carla Charlotte Clara Elena Elizabeth Emma Greta Hannah Helena Ingrid Isabel Julia Laura Linda Lucia Maria Marta Nadine Patricia Sophie Aisha Fatima Mei Priya Yuki".split(),
+    ("latin", "m"): "Albert Antonio Carlos Charles Daniel David Diego Edward Felix Frank George Hans Henri Jacques James Jorge Karl Luis Martin Michael Pedro Robert Thomas William Ahmed Amit Hiroshi Mohammed Omar Rajesh Wei".split(),
     ("cyrillic", "f"): "Анна Вера Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
     ("cyrillic", "m"): "Алексей Андрей Борис Дмитрий Иван Михаил Николай Олег Павел Сергей".split(),
     ("greek", "f"): "Άννα Ελένη Ειρήνη Κατερίνα Μαρία Σοφία".split(),
@@ -56,7 +57,9 @@ PATTERNS = [
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("card", re.compile(r"(?<![\d.])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\d)")),
 ]
-_NAME = re.compile(rf"(?<!\w)(?:({'|'.join(TITLES)})\.? )?([{_UP}][^\W\d_]+)(?: ([{_UP}][^\W\d_]+))?")
+_PART = rf"[{_UP}](?:[^\W\d_]+|(?=['’-][^\W\d_]))(?:['’-][^\W\d_]+)*"
+_NAME = re.compile(rf"(?<!\w)(?:({'|'.join(TITLES)})\.? )?({_PART})(?: ({_PART}))?")
+_JOINTS = re.compile("['’-]")
 _HINTS = re.compile(r"[@\d]")
 
 
@@ -90,17 +93,19 @@ def _script(word: str) -> str:
 
 
 def detect(text: str | None) -> list[Entity]:
-    """The entities of a text in order, without overlaps; what stands earlier in PATTERNS wins."""
+    """The entities of a text in order, without overlaps; what stands earlier in PATTERNS wins.
+
+    A run of 13 to 19 digits is a card if its check digit holds; four groups of four are one anyway. Names found
+    by a title or given name are then found wherever else the text has them, in upper case too.
+    """
     text = text or ""
     found: list[Entity] = []
-    taken: list[tuple[int, int]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+    taken = bytearray(len(text))
 
     def add(kind: str, group: str, canon: str, a: int, b: int) -> None:
-        found.append(Entity(kind, group, canon, a, b))
-        taken.append((a, b))
+        if taken.find(1, a, b) < 0:
+            found.append(Entity(kind, group, canon, a, b))
+            taken[a:b] = b"\1" * (b - a)
 
     for kind, pattern in PATTERNS if _HINTS.search(text) else []:
         for m in pattern.finditer(text):
@@ -112,25 +117,31 @@ def detect(text: str | None) -> list[Entity]:
                 continue
             if kind == "phone" and not 7 <= len(canon) <= 15:
                 continue
-            if free(a, b):
-                shape = m.group().split("@")[1].rsplit(".", 1)[1].lower() if kind == "email" else canon[:2] if kind == "iban" else ""
-                add(kind, shape, m.group() if kind == "ip" else canon, a, b)
+            if kind == "card" and b - a == len(canon) and _luhn(canon[:-1]) != int(canon[-1]):
+                continue
+            shape = m.group().split("@")[1].rsplit(".", 1)[1].lower() if kind == "email" else canon[:2] if kind == "iban" else ""
+            add(kind, shape, m.group() if kind == "ip" else canon, a, b)
+    before = len(found)
     for m in _NAME.finditer(text):
         title, first, second = m.groups()
         gender = TITLES.get(title or "", "")
         if first in _WHO and (second or title):
             script, g = _WHO[first]
-            if free(*m.span(2)):
-                add("given", f"{script} {g}", first, *m.span(2))
-            if second and free(*m.span(3)):
-                add("family", _script(second), second.lower(), *m.span(3))
-        elif title and free(*m.span(2)):
-            if second and free(*m.span(3)):
-                script = _script(first)
-                add("given", f"{script} {gender or 'm'}", first, *m.span(2))
+            add("given", f"{script} {g}", first, *m.span(2))
+            if second:
                 add("family", _script(second), second.lower(), *m.span(3))
-            else:
-                add("family", _script(first), first.lower(), *m.span(2))
+        elif title and second:
+            add("given", f"{_script(first)} {gender or 'm'}", first, *m.span(2))
+            add("family", _script(second), second.lower(), *m.span(3))
+        elif title:
+            add("family", _script(first), first.lower(), *m.span(2))
+    known: dict[str, Entity] = {}
+    for e in found[before:]:
+        known.setdefault(text[e.start : e.end].lower(), e)
+    for m in re.finditer(_PART, text) if known else []:
+        e = known.get(m.group().lower())
+        if e is not None and not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")):
+            add(e.kind, e.group, e.canon, *m.span())
     return sorted(found, key=lambda e: e.start)
 
 
@@ -219,7 +230,12 @@ class Surrogates:
     def render(self, mention: str, surrogate: str, kind: str) -> str:
         """The surrogate in the mention's format: its punctuation, spaces and letter case."""
         if kind in ("given", "family"):
-            return surrogate.upper() if mention.isupper() and len(mention) > 1 else surrogate[:1].upper() + surrogate[1:]
+            parts = _JOINTS.split(mention)
+            size = max(2, len(surrogate) // len(parts) // 2 * 2)  # whole syllables
+            cuts = [surrogate[i * size : (i + 1) * size if i < len(parts) - 1 else None] for i in range(len(parts))] if len(parts) * 2 <= len(surrogate) else [surrogate]
+            joints = [*_JOINTS.findall(mention), ""]
+            new = "".join(c[:1].upper() + c[1:] + j for c, j in zip(cuts, joints if len(cuts) > 1 else [""]))
+            return new.upper() if mention.isupper() and len(mention) > 1 else new
         new = iter(c for c in surrogate if c.isalnum())
         out = []
         for c in mention:
@@ -245,7 +261,10 @@ def fit_surrogates(df: DataFrame, key: bytes, text_col: str = "text", max_moved:
     """The mapping for all texts of ``df``, with its collision checks done over all distinct entities.
 
     Given names of a list go round a cycle through it and can't collide; all else takes part in the check. The
-    number of a name's syllables follows the count of distinct names, so that fewer than about a thousand collide; ``max_moved`` is the bound of what is sent to the tasks, beyond which names get longer.
+    number of a name's syllables follows the count of distinct names, so that fewer than about a thousand
+    collide; ``max_moved`` is the bound of what is sent to the tasks, beyond which names get longer. Rounds
+    after the first look at the entities that clashed only. Null and empty texts have no entities; texts and
+    entities may repeat, and an empty table gives a mapping in which nothing moved.
     """
 
     @F.pandas_udf("array<struct<kind:string,group:string,canon:string>>")
@@ -258,28 +277,40 @@ def fit_surrogates(df: DataFrame, key: bytes, text_col: str = "text", max_moved:
     mapping = Surrogates(key, alphabet=alphabet or SYLLABLES)
     while any(r["count"] ** 2 > 2000 * len(mapping.alphabet[r["group"].split(" ")[0]]) ** mapping.syllables for r in names):
         mapping.syllables += 1
+    real = atoms.where("kind in ('family', 'given')").select("kind", "group", F.col("canon").alias("new"))
+    form = ["kind", "group", "new"]
     while True:
-        current = atoms.withColumn("attempt", F.lit(0))
-        for _ in range(max_rounds):
-            now = Surrogates(key, mapping.syllables, alphabet=mapping.alphabet)
-
-            @F.pandas_udf("string")
-            def surrogate(kind: pd.Series, group: pd.Series, canon: pd.Series, attempt: pd.Series) -> pd.Series:
-                return pd.Series([now.of(*x) for x in zip(kind, group, canon, attempt.tolist())])
-
-            current = durable(current.withColumn("new", surrogate("kind", "group", "canon", "attempt")), "surrogates")
-            # Of those that share a surrogate the one with the fewest attempts, then the first, keeps it.
-            first = current.groupBy("kind", "group", "new").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count(F.lit(1)).alias("n"))
-            clash = current.join(first.where("n > 1"), ["kind", "group", "new"]).where(F.col("canon") != F.col("first.canon")).select("kind", "group", "canon")
-            clash = durable(clash.unionByName(current.where("new = canon").select("kind", "group", "canon")).distinct(), "clashes")
-            n_clash = clash.count()
-            if not n_clash or n_clash > max_moved:
+        now = Surrogates(key, mapping.syllables, alphabet=mapping.alphabet)
+
+        @F.pandas_udf("string")
+        def surrogate(kind: pd.Series, group: pd.Series, canon: pd.Series, attempt: pd.Series) -> pd.Series:
+            return pd.Series([now.of(*x) for x in zip(kind, group, canon, attempt.tolist())])
+
+        def tried(entities: DataFrame, attempt: int) -> DataFrame:
+            """Surrogates of this attempt; of those that share one the first entity may keep it."""
+            new = durable(entities.withColumn("new", surrogate("kind", "group", "canon", F.lit(attempt))), "surrogates")
+            first = new.groupBy(*form).agg(F.min("canon").alias("first"))
+            return new.join(first, form).withColumn("ok", (F.col("canon") == F.col("first")) & (F.col("new") != F.lower("canon")) & (F.col("new") != F.col("canon"))).drop("first")
+
+        def clashes(entities: DataFrame, held: list[DataFrame]) -> DataFrame:
+            for other in held:
+                entities = entities.join(other.select(*form, F.lit(True).alias("__held")).distinct(), form, "left").withColumn("ok", F.col("ok") & F.col("__held").isNull()).drop("__held")
+            return durable(entities, "tried")
+
+        start = clashes(tried(atoms, 0), [real])
+        settled = [start.select(*form), real]
+        open_ = start.where("not ok").select("kind", "group", "canon")
+        moved: dict[tuple[str, str, str], int] = {}
+        for attempt in range(1, max_rounds + 1):
+            n_open = open_.count()
+            if not n_open or n_open > max_moved:
                 break
-            current = current.join(F.broadcast(clash.withColumn("up", F.lit(1))), ["kind", "group", "canon"], "left")  # max_moved rows at most
-            current = current.select("kind", "group", "canon", (F.col("attempt") + F.coalesce("up", F.lit(0))).alias("attempt"))
-        moved = current.where("attempt > 0")
-        if not n_clash and moved.count() <= max_moved:
-            mapping.moved = {(r["kind"], r["group"], r["canon"]): r["attempt"] for r in moved.collect()}  # max_moved rows at most
+            now_tried = clashes(tried(open_, attempt), settled)
+            moved |= {(r["kind"], r["group"], r["canon"]): attempt for r in now_tried.where("ok").collect()}  # max_moved rows at most
+            settled.append(now_tried.where("ok").select(*form))
+            open_ = now_tried.where("not ok").select("kind", "group", "canon")
+        if open_.isEmpty():
+            mapping.moved = moved
             return mapping
         mapping.syllables += 1
 
@@ -287,7 +318,8 @@ def fit_surrogates(df: DataFrame, key: bytes, text_col: str = "text", max_moved:
 def replace_entities(df: DataFrame, mapping: Surrogates, text_col: str = "text", spans_col: str = "entities") -> DataFrame:
     """``df`` with each entity of ``text_col`` replaced, and the spans (kind, old and new bounds) in ``spans_col``.
 
-    Null and empty texts stay as they are, with no spans. Rows stay as they are, repeated ones too.
+    Null and empty texts stay as they are, with no spans. Rows stay as they are, repeated ones too; whole texts
+    of any length are read, in time in proportion to them. A column named ``spans_col`` is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(mapping)  # bounded: see fit_surrogates
 

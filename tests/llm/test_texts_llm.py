@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -282,6 +283,44 @@ def test_surrogates_keep_type_and_identity(spark, odd):
     assert surrogates.fit_surrogates(odd.where("false"), b"key").moved == {}
 
 
+LABELLED = [
+    ("Dr. Emma Stone called. Stone said Emma was late. EMMA STONE", ["Emma", "Stone", "Stone", "Emma", "EMMA", "STONE"]),
+    ("Mr. O'Brien and Mrs Müller-Lüdenscheidt met Wei Zhang; O'Brien left", ["O'Brien", "Müller-Lüdenscheidt", "Wei", "Zhang", "O'Brien"]),
+    ("Stone walls and emma alone, Dr Who", ["Who"]),
+    ("order 1234567890123456, card 4111111111111111 or 1234 5678 9012 3456", ["4111111111111111", "1234 5678 9012 3456"]),
+    ("Анна Петрова писала. ПЕТРОВА ушла", ["Анна", "Петрова", "ПЕТРОВА"]),
+    ("a@b.example, 10.0.0.1 and 999.1.1.1, 555-123-4567, DE89 3704 0044 0532 0130 00", ["a@b.example", "10.0.0.1", "555-123-4567", "DE89 3704 0044 0532 0130 00"]),
+    ("no one here, The End", []),
+]
+
+
+def test_detection_on_labelled_texts():
+    for text, want in LABELLED:
+        assert [text[e.start : e.end] for e in surrogates.detect(text)] == want
+
+
+def test_detection_is_linear():
+    text = " ".join(f"user{i}@example.org" for i in range(40_000))
+    began = time.perf_counter()
+    assert len(surrogates.detect(text)) == 40_000
+    assert time.perf_counter() - began < 10
+
+
+def test_replacement_equals_brute_force(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LABELLED)], "doc_id int, text string")
+    mapping = surrogates.fit_surrogates(df, b"key")
+    for r in surrogates.replace_entities(df, mapping).collect():
+        text, want, at = LABELLED[r.doc_id][0], "", 0
+        for e in surrogates.detect(text):
+            want += text[at : e.start] + mapping.render(text[e.start : e.end], mapping.of(e.kind, e.group, e.canon), e.kind)
+            at = e.end
+        assert r.text == want + text[at:]
+    new = surrogates.replace_entities(df.where("doc_id < 2"), mapping).orderBy("doc_id").collect()
+    given, family = re.match(r"Dr\. (\w+) (\w+) called", new[0].text).groups()
+    assert new[0].text == f"Dr. {given} {family} called. {family} said {given} was late. {given.upper()} {family.upper()}"
+    assert re.match(r"Mr\. \w+'\w+ and Mrs \w+-\w+ met \w+ \w+; \w+'\w+ left$", new[1].text)
+
+
 def test_surrogate_collisions_move_on(spark):
     names = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in ("lan", "mer", "tov", "ric")]
     df = spark.createDataFrame([(f"Mr. {n.title()} came.",) for n in names], "text string")
