@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.joins import slice_of
+
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column | str], n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group, with their rank from 1. Spark cuts each partition's groups to n rows before the shuffle."""
@@ -18,11 +20,33 @@ def latest(df: DataFrame, key: list[str], version: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(row).select(*key, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def sessions(df: DataFrame, by: list[str], time: str, gap: str) -> DataFrame:
-    """``df`` with ``session``, numbered from 1 in each key; a new one begins after a pause of ``gap`` or more."""
-    w = Window.partitionBy(*by).orderBy(time)
-    fresh = F.coalesce(F.col(time) - F.lag(time).over(w) >= F.expr(f"INTERVAL {gap}"), F.lit(True)).cast("int")
-    return df.withColumn("__fresh", fresh).withColumn("session", F.sum("__fresh").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("__fresh")
+def sessions(df: DataFrame, by: list[str], time: str, gap: str, width: float = 86400.0) -> DataFrame:
+    """``df`` with ``session``, numbered from 1 in each key; a new one begins after a pause of ``gap`` or more.
+
+    Rows are numbered within slices of ``width`` seconds, and one row for each slice carries the last time and
+    the number of sessions on, so that a key with most of the rows is spread over its slices. Null keys are a
+    key; rows without a time come first and are one session.
+    """
+    rows = df.withColumn("__slice", slice_of(F.col(time), dict(df.dtypes)[time], width))
+    keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(by)]
+    names = [f"__k{i}" for i in range(len(by))]
+    ends = rows.groupBy(*keys, F.col("__slice").alias("__s")).agg(F.max(time).alias("__end"))
+    ends = ends.withColumn("__before", F.lag("__end").over(Window.partitionBy(*names).orderBy("__s"))).drop("__end")
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        same = F.col("__slice").eqNullSafe(F.col("__s"))
+        for k, n in zip(by, names):
+            same = same & F.col(k).eqNullSafe(F.col(n))
+        return a.join(b, same).drop("__s", *names)
+
+    w = Window.partitionBy(*by, "__slice").orderBy(time)
+    last = F.coalesce(F.lag(time).over(w), F.col("__before"))
+    marked = met(rows, ends).withColumn("__fresh", F.coalesce(F.col(time) - last >= F.expr(f"INTERVAL {gap}"), last.isNull() & (F.row_number().over(w) == 1)).cast("int"))
+    marked = marked.withColumn("__in", F.sum("__fresh").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("__before", "__fresh")
+    counts = marked.groupBy(*keys, F.col("__slice").alias("__s")).agg(F.max("__in").alias("__n"))
+    before = Window.partitionBy(*names).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__sum", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return met(marked, counts).withColumn("session", F.col("__in") + F.col("__sum")).drop("__in", "__sum", "__slice")
 
 
 def versions(df: DataFrame, key: list[str], time: str, watched: list[str]) -> DataFrame:

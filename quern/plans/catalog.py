@@ -53,7 +53,7 @@ _add("agg_max_by", "SELECT o_custkey, max_by(o_orderkey, struct(o_totalprice, o_
 _add("agg_bool", "SELECT bool_and(l_quantity > 0) AS every_one, bool_or(l_discount > 0.1) AS any_one FROM {lineitem}")
 _add("agg_histogram", "SELECT CAST(floor(o_totalprice / 50000) AS BIGINT) AS bin, count(*) AS n FROM {orders} GROUP BY 1")
 _add("pivot", "SELECT * FROM (SELECT event_type, user_id % 3 AS shard FROM {events}) PIVOT (count(*) FOR event_type IN ('click' AS clicks, 'view' AS views, 'purchase' AS purchases))", "SELECT user_id % 3 AS shard, nullif(count(*) FILTER (WHERE event_type = 'click'), 0) AS clicks, nullif(count(*) FILTER (WHERE event_type = 'view'), 0) AS views, nullif(count(*) FILTER (WHERE event_type = 'purchase'), 0) AS purchases FROM {events} GROUP BY 1")
-_add("unpivot", "SELECT l_orderkey, l_linenumber, l_partkey, measure, amount FROM {lineitem} UNPIVOT (amount FOR measure IN (l_quantity, l_tax)) WHERE l_orderkey < 100", "SELECT l_orderkey, l_linenumber, l_partkey, measure, amount FROM (SELECT l_orderkey, l_linenumber, l_partkey, unnest(['l_quantity', 'l_tax']) AS measure, unnest([l_quantity, l_tax]) AS amount FROM {lineitem}) WHERE l_orderkey < 100")
+_add("unpivot", "SELECT l_orderkey, l_linenumber, l_partkey, measure, amount FROM {lineitem} UNPIVOT (amount FOR measure IN (l_quantity, l_tax))", "SELECT l_orderkey, l_linenumber, l_partkey, measure, amount FROM (SELECT l_orderkey, l_linenumber, l_partkey, unnest(['l_quantity', 'l_tax']) AS measure, unnest([l_quantity, l_tax]) AS amount FROM {lineitem})")
 
 # Windows, sorts, set operations
 _add("win_rank", "SELECT o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER v AS BIGINT) AS rk, CAST(dense_rank() OVER v AS BIGINT) AS dr FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderpriority)", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER v AS rk, dense_rank() OVER v AS dr FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import functions as Q
-from quern import streaming
+from quern import sources, streaming
 from quern.operators import custom, groups, joins
 from quern.session import shared_dir, table
 
@@ -65,7 +68,35 @@ def vec_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_approx_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+    """The exact distinct count, and whether the estimate of relative deviation 0.02 lies within four deviations of it."""
+    counted = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.02).alias("about"))
+    return counted.select("l_returnflag", "parts", (F.abs(F.col("about") - F.col("parts")) <= 0.08 * F.col("parts")).alias("close"))
+
+
+def udaf_trimmed(spark: SparkSession, d: str) -> DataFrame:
+    """A grouped pandas UDF: each customer's mean order price without the largest and the smallest. A customer's orders fit in a task."""
+
+    @F.pandas_udf("double")
+    def trimmed(prices: pd.Series) -> float:
+        return float(prices.sort_values().iloc[1:-1].mean() if len(prices) > 2 else prices.mean())
+
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.round(trimmed("o_totalprice"), 4).alias("price"))
+
+
+def formats_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The parts' names and prices, written and read in each format."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice")
+    found = []
+    for fmt in sources.FORMATS:
+        path = f"{shared_dir(spark)}/formats-{uuid.uuid4().hex}"
+        rows = parts.select(F.concat_ws("\t", "p_partkey", "p_name").alias("value")) if fmt == "text" else parts
+        sources.write(rows, fmt, path)
+        back = sources.read(spark, fmt, path, rows.schema)
+        if fmt == "text":
+            back = back.select(F.split_part("value", F.lit("\t"), F.lit(1)).cast(parts.schema["p_partkey"].dataType).alias("p_partkey"), F.split_part("value", F.lit("\t"), F.lit(2)).alias("p_name"))
+            back = back.withColumn("p_retailprice", F.lit(None).cast("double"))
+        found.append(back.withColumn("format", F.lit(fmt)))
+    return reduce(DataFrame.unionByName, found)
 
 
 def grouped_map(spark: SparkSession, d: str) -> DataFrame:
@@ -85,8 +116,13 @@ def cogroup_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_map(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select("p_partkey", "p_retailprice")
-    return custom.map_batches(rows, lambda b: b.filter(pc.greater(b.column("p_retailprice"), 995.0)), rows.schema)
+    """Unicode normalisation, which Spark's functions don't offer, over Arrow batches."""
+    rows = table(spark, d, "documents").select("doc_id", "text")
+
+    def normal(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.set_column(1, "text", pc.utf8_normalize(b.column("text"), "NFD"))
+
+    return custom.map_batches(rows, normal, rows.schema).select("doc_id", F.md5("text").alias("digest"))
 
 
 def udtf_words(spark: SparkSession, d: str) -> DataFrame:
@@ -108,9 +144,14 @@ def sql_udf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_state(spark: SparkSession, d: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    totals = custom.running_totals(streaming.as_stream(spark, d, "events"), "user_id", "value")
-    last = groups.latest(streaming.drain(spark, totals, "update", shared_dir(spark)), ["key"], ["n"])
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        totals = custom.running_totals(streaming.as_stream(spark, d, "events"), "user_id", "value")
+        last = groups.latest(streaming.drain(spark, totals, "update", shared_dir(spark)), ["key"], ["n"])
+    finally:
+        spark.conf.set(provider, before)
     return last.select(F.col("key").alias("user_id"), "n", F.round("total", 6).alias("total"))
 
 
@@ -176,7 +217,7 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         * list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS score
         FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 10""",
     ),
-    "agg_approx_distinct": (agg_approx_distinct, None),
+    "agg_approx_distinct": (agg_approx_distinct, "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS close FROM lineitem GROUP BY l_returnflag"),
     "grouped_map": (
         grouped_map,
         """SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER w) / stddev_pop(c_acctbal) OVER w, 6) AS z FROM customer
@@ -187,7 +228,17 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         """SELECT nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers
         FROM (SELECT c_nationkey AS nation, count(*) AS customers FROM customer GROUP BY 1) FULL JOIN (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier GROUP BY 1) USING (nation)""",
     ),
-    "batch_map": (batch_map, "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 995"),
+    "batch_map": (batch_map, None),
+    "udaf_trimmed": (
+        udaf_trimmed,
+        """SELECT o_custkey, round(CASE WHEN count(*) > 2 THEN (sum(o_totalprice) - min(o_totalprice) - max(o_totalprice)) / (count(*) - 2) ELSE avg(o_totalprice) END, 4) AS price
+        FROM orders GROUP BY o_custkey""",
+    ),
+    "formats_round_trip": (
+        formats_round_trip,
+        f"""SELECT p_partkey, p_name, CASE WHEN format = 'text' THEN NULL ELSE p_retailprice END AS p_retailprice, format
+        FROM part, (VALUES {", ".join(f"('{f}')" for f in sources.FORMATS)}) formats(format)""",
+    ),
     "udtf_words": (
         udtf_words,
         "SELECT p_partkey, CAST(place AS INTEGER) AS place, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS place FROM part)",

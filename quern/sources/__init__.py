@@ -13,6 +13,7 @@ FORMATS = {
     "json": {},
     "csv": {"header": "true"},
     "xml": {"rowTag": "row", "rootTag": "rows"},
+    "text": {},  # one column of strings, a line each
 }
 
 
