@@ -2,10 +2,11 @@
 
 A pseudo-rotation (random signs and a fast Hadamard transform, three times) turns
 a unit vector, and the nearest signed axis is its hash; a table's code joins k such
-hashes. Every vector lies in one bucket of each table. A query probes, per table,
-the buckets whose axes lose least against its nearest ones. Buckets and probes are
-cogrouped, each bucket's rows are ranked by exact distance on the original vectors,
-and a query's best of all its buckets are its neighbours.
+hashes. Every vector lies in one bucket of each table. A query probes the buckets
+whose axes lose least against its nearest ones, over all tables together. Buckets
+and probes are dealt to slots by a hash; a slot's rows and probes meet in a task,
+where each pair of a bucket is ranked once by its exact distance on the original
+vectors. A query's best of all slots are its neighbours.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ def hash_axes(x: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
     return np.stack([z, -z], axis=3).reshape(len(x), len(diagonals), -1)
 
 
-def best_codes(values: np.ndarray, probes: int) -> np.ndarray:
-    """The ``probes`` codes of least squared loss of one table: ``values`` (hashes, axes) of one query."""
+def best_codes(values: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``probes`` codes of least squared loss of one table, and their losses: ``values`` (hashes, axes) of one query."""
     k, axes = values.shape
     near = np.argsort(-values, axis=1, kind="stable")[:, : min(axes, max(8, math.ceil(2 * probes ** (1 / k)) + 4, probes if k == 1 else 0))]
     loss = (values.max(axis=1, keepdims=True) - np.take_along_axis(values, near, axis=1)) ** 2
@@ -37,23 +38,55 @@ def best_codes(values: np.ndarray, probes: int) -> np.ndarray:
     for i in range(1, k):
         total = (total[:, None] + loss[i][None, :]).reshape(-1)
         code = (code[:, None] * axes + near[i][None, :]).reshape(-1)
-    return code[np.argsort(total, kind="stable")[:probes]]
-
-
-def _nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest of ``rows`` (id, vec) for each of ``queries`` (query_id, qvec), but the query's own row."""
-    ids, x = rows["id"].to_numpy(), np.stack(rows["vec"].to_numpy()).astype(np.float64)
-    out = []
-    for q, v in zip(queries["query_id"], queries["qvec"]):
-        near = np.sqrt(((x - np.asarray(v, dtype=np.float64)) ** 2).sum(axis=1))
-        near[ids == q] = np.inf
-        if len(near) > 4 * k:
-            keep = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1])
-        else:
-            keep = np.arange(len(near))
-        keep = keep[np.lexsort((ids[keep], near[keep]))][:k]
-        out += [(q, int(ids[i]), float(near[i])) for i in keep if near[i] < np.inf]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+    keep = np.argsort(total, kind="stable")[:probes]
+    return code[keep], total[keep]
+
+
+def pooled_probes(values: np.ndarray, hashes: int, probes: int) -> list[tuple[int, int]]:
+    """The ``probes`` buckets (table, code) of least squared loss over all tables; ``values`` (tables * hashes, axes) of one query."""
+    found, lost = [], []
+    for t in range(len(values) // hashes):
+        codes, loss = best_codes(values[t * hashes : (t + 1) * hashes], probes)
+        found += [(t, c) for c in codes.tolist()]
+        lost.append(loss)
+    keep = np.argsort(np.concatenate(lost), kind="stable")[:probes]
+    return [found[i] for i in keep.tolist()]
+
+
+def _top(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k smallest scores, ties to the smaller id."""
+    order = np.lexsort((ids, score, query))
+    begins = np.flatnonzero(np.r_[True, np.diff(query[order]) != 0])
+    nth = np.arange(len(order)) - np.repeat(begins, np.diff(np.r_[begins, len(order)]))
+    return order[nth < k]
+
+
+def _nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int, pairs: int = 1 << 17) -> pd.DataFrame:
+    """The k nearest of ``rows`` (id, vec, bucket) for each of ``queries`` (query_id, qvec, bucket) that share a bucket, but the query's own row."""
+    ids, first, row_of = np.unique(rows["id"].to_numpy(), return_index=True, return_inverse=True)
+    x = np.stack(rows["vec"].to_numpy()[first]).astype(np.float64)
+    asked, first, query_of = np.unique(queries["query_id"].to_numpy(), return_index=True, return_inverse=True)
+    y = np.stack(queries["qvec"].to_numpy()[first]).astype(np.float64)
+    order = np.argsort(rows["bucket"].to_numpy(), kind="stable")
+    held = rows["bucket"].to_numpy()[order]
+    low, high = (np.searchsorted(held, queries["bucket"].to_numpy(), side=s) for s in ("left", "right"))
+    row_of, sizes = row_of[order], high - low
+    cuts = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum() + pairs, pairs), side="left") if len(sizes) else []
+    best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    for a, b in zip(np.unique([0, *cuts[1:]]), [*np.unique([0, *cuts[1:]])[1:], len(sizes)]):
+        n = sizes[a:b]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a:b], n)
+        met = np.unique(np.repeat(query_of[a:b], n) * len(ids) + row_of[at])
+        q, r = met // len(ids), met % len(ids)
+        other = asked[q] != ids[r]
+        q, r = q[other], r[other]
+        score = np.sqrt(((x[r] - y[q]) ** 2).sum(axis=1))
+        q, r, score = (np.concatenate(z) for z in zip(best, (q, r, score)))
+        _, once = np.unique(q * len(ids) + r, return_index=True)
+        q, r, score = q[once], r[once], score[once]
+        keep = _top(q, r, score, k)
+        best = [q[keep], r[keep], score[keep]]
+    return pd.DataFrame({"query_id": asked[best[0]], "vec_id": ids[best[1]], "score": best[2]})
 
 
 _FOUND = "query_id long, vec_id long, score double"
@@ -70,30 +103,34 @@ def nearest_neighbours(
     probes: int | None = None,
     seed: int = 5,
     block: int = 4096,
+    slot_rows: int = 60_000,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found rows by Euclidean distance, ties to the smaller id.
 
     ``queries`` are rows of the same form. Vectors that are null, zero or hold null or non-finite numbers take
     no part, nor do null ids; only vectors of a query's length are its candidates. A query's own id is no
-    candidate. Ids are unique; of rows with equal vectors only the k + 1 smallest ids can be neighbours, so the
-    others are not indexed (exact, and it bounds copies). An empty table gives an empty result.
-
-    ``hashes`` a code follows the row count, so that a bucket holds about as many rows as there are axes at any
-    size; ``tables`` (12 a hash) and ``probes`` (8 to the power of the hashes) follow it. Buckets of more than
-    ``block`` rows are split into parts, each ranked by itself. Queries with fewer than k rows found are
-    searched once more, exactly, against all rows in blocks.
+    candidate. Of several vectors of one id the smallest (as an array) counts, so that repeated rows count once.
+    Of ids with equal vectors only the k + 1 smallest can be neighbours, so the others are not indexed (exact,
+    and it bounds copies). Columns besides id and vector are ignored. An empty table gives an empty result.
+
+    ``hashes`` a code follows the row count, so that a bucket holds about as many rows at any size; ``tables``
+    (12 a hash) and ``probes`` (of all tables together: 96 for one hash, 1300 for two) follow it. Buckets of
+    more than ``block`` rows or probes are cut into parts, and each part of the rows meets each part of the
+    probes by itself. A task gets about ``slot_rows`` rows and probes. Queries with fewer than k rows found
+    are searched once more, exactly, against all rows in blocks.
     """
     valid = F.col("id").isNotNull() & is_vector(F.col("vec"))
     base = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").alias("vec")).where(valid)
     asked = queries.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").alias("vec")).where(valid)
+    base, asked = (x.groupBy("id").agg(F.min("vec").alias("vec")) for x in (base, asked))
     copies = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
     base = base.withColumn("__copy", copies).where(F.col("__copy") <= k + 1).drop("__copy").withColumn("dim", F.size("vec"))
     base = durable(base, "vectors")
     count, dim = base.agg(F.count(F.lit(1)), F.max("dim")).first()
     if not count:
         return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
-    hashes = hashes or max(1, round(math.log(count) / math.log(2 * width(dim))) - 1)
-    tables, probes = tables or 12 * hashes, probes or 8**hashes
+    hashes = hashes or max(1, math.floor(math.log(count / 2.4) / math.log(2 * width(dim))))
+    tables, probes = tables or 12 * hashes, probes or round(96 * 13.54 ** (hashes - 1))
 
     def place(query: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,10 +143,18 @@ def nearest_neighbours(
                     at = np.flatnonzero(sizes == size)
                     x = unit(np.stack(pdf["vec"].to_numpy()[at]).astype(np.float64))
                     diagonals = signs(int(size), tables * hashes, seed)
+                    if query:
+                        for some in range(0, len(at), 64):
+                            for i, v in zip(at[some:], hash_axes(x[some : some + 64], diagonals)):
+                                codes[i] = pooled_probes(v, hashes, probes)
+                        continue
                     for t in range(tables):
-                        values = hash_axes(x, diagonals[t * hashes : (t + 1) * hashes])
-                        for i, v in zip(at, values):
-                            codes[i] += [(t, c) for c in best_codes(v, probes if query else 1).tolist()]
+                        axes = hash_axes(x, diagonals[t * hashes : (t + 1) * hashes]).argmax(axis=2)
+                        code = np.zeros(len(at), np.int64)
+                        for h in range(hashes):
+                            code = code * 2 * width(int(size)) + axes[:, h]
+                        for i, c in zip(at, code.tolist()):
+                            codes[i].append((t, c))
                 out = pdf[["id", "vec"]].copy()
                 out["dim"] = sizes.astype(np.int32)
                 out["buckets"] = [[dict(table=t, code=c) for t, c in x] for x in codes]
@@ -122,11 +167,26 @@ def nearest_neighbours(
     probed = durable(asked.mapInPandas(place(True), schema), "probes")
 
     keys = ["dim", "table", "code"]
-    placed = index.select("id", "vec", "dim", F.explode("buckets").alias("b")).select("id", "vec", "dim", "b.table", "b.code")
-    sizes = index.select("dim", F.explode("buckets").alias("b")).groupBy("dim", F.col("b.table").alias("table"), F.col("b.code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    placed = with_parts(placed, sizes, keys, block).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    sent = probed.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"), "dim", F.explode("buckets").alias("b")).select("query_id", "qvec", "dim", "b.table", "b.code")
-    sent = with_parts(sent, sizes, keys, block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def per_bucket(df: DataFrame) -> DataFrame:
+        return df.select("dim", F.explode("buckets").alias("b")).groupBy("dim", F.col("b.table").alias("table"), F.col("b.code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+    def dealt(df: DataFrame, own: DataFrame, others: DataFrame) -> DataFrame:
+        """A row for each bucket and part; what is cut by ``own`` sizes is sent to each part of the ``others``."""
+        rows = df.select("id", "vec", "dim", F.explode("buckets").alias("b")).select("id", "vec", "dim", "b.table", "b.code")
+        rows = with_parts(rows, own, keys, block).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+        return with_parts(rows, others, keys, block).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    row_sizes, probe_sizes = durable(per_bucket(index), "row-sizes"), durable(per_bucket(probed), "probe-sizes")
+    weight = sum(d.agg(F.sum("n")).first()[0] or 0 for d in (row_sizes, probe_sizes))
+    slots = max(1, math.ceil(weight / slot_rows))
+
+    def in_slots(df: DataFrame, row_part: str, probe_part: str) -> DataFrame:
+        bucket = F.xxhash64("dim", "table", "code", row_part, probe_part)  # an accidental match only adds a comparison
+        return df.withColumn("bucket", bucket).withColumn("slot", F.pmod("bucket", F.lit(slots))).select("id", "vec", "dim", "bucket", "slot")
+
+    placed = in_slots(dealt(index, row_sizes, probe_sizes), "mine", "theirs")
+    sent = in_slots(dealt(probed, probe_sizes, row_sizes), "theirs", "mine").withColumnsRenamed({"id": "query_id", "vec": "qvec"})
 
     def rank(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:
@@ -137,7 +197,7 @@ def nearest_neighbours(
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    found = sent.groupBy(*keys, "part").cogroup(placed.groupBy(*keys, "part")).applyInPandas(rank, _FOUND)
+    found = sent.groupBy("dim", "slot").cogroup(placed.groupBy("dim", "slot")).applyInPandas(rank, _FOUND)
     found = durable(top(found), "found")
 
     held = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
@@ -147,7 +207,7 @@ def nearest_neighbours(
     if not short.isEmpty():
         blocks = max(1, math.ceil(count / block))
         every = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        dealt = base.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        more = top(every.groupBy("dim", "part").cogroup(dealt.groupBy("dim", "part")).applyInPandas(rank, _FOUND))
+        parts = base.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("bucket", F.lit(0))
+        more = top(every.withColumn("bucket", F.lit(0)).groupBy("dim", "part").cogroup(parts.groupBy("dim", "part")).applyInPandas(rank, _FOUND))
         found = found.join(short, "query_id", "left_anti").unionByName(more)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

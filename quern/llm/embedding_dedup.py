@@ -98,7 +98,8 @@ def embedding_near_dups(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_
     in double precision. Vectors that are null, zero or hold null or non-finite numbers link with nothing,
     nor do rows with a null id (null component and kept). ``n_links`` counts the other rows linked directly,
     copies included; ``component_id`` is the smallest id reachable, the row's own included; ``kept`` says
-    whether it is the row's own. Ids are unique.
+    whether it is the row's own. Rows that repeat an id count as vectors of their own. Other columns are ignored,
+    and an empty table gives an empty result.
 
     A cell of more than ``limit`` rows is split into parts, and each two parts meet in a task of their own.
     """
