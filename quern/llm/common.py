@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,17 +11,38 @@ from pyspark.sql import functions as F
 from quern.session import shared_dir
 
 
+_made: list[list[str]] = []
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage, survives lost executors, and gives the planner the
     table's real size, so that Spark broadcasts it only under its own threshold.
+    The table stays until the folder is cleared, or ``alone`` frees it.
     """
     path = f"{shared_dir(df.sparkSession)}/quern/{uuid.uuid4().hex}/{name}"
+    if _made:
+        _made[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def alone(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` returns as a ``durable`` table, with all tables that it needed on the way deleted."""
+    _made.append([])
+    result = None
+    try:
+        result = durable(build(), name)
+    finally:
+        paths = _made.pop()
+        for p in paths[:-1] if result is not None else []:
+            jvm, conf = result.sparkSession._jvm, result.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(p).getParent()
+            at.getFileSystem(conf).delete(at, True)
+    return result
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on as many tasks as there are cores, if it has fewer than two for each: for costly Python on small tables."""
     cores = df.sparkSession.sparkContext.defaultParallelism
