@@ -1,6 +1,7 @@
 """Near-dedup, sharding, mixing, components and the pipeline against brute force, and their odd rows."""
 
 import collections
+import hashlib
 import random
 import zlib
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quern.llm import common, hilbert, mixing, simhash
+from quern.llm import common, hilbert, mixing, queries, secrets, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp int, key string, shard int, times int, row_hash int"
 
@@ -204,15 +205,41 @@ def test_mixture_of_odd_rows(spark, odd):
     assert mixing.mix_sources(odd.where("false"), target_entropy=0.5).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline_stages_equal_brute_force(spark):
+    from tokenizers import Tokenizer
+
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     path = "/root/testdata/sf0.001"
-    all_docs = spark.read.parquet(f"{path}/documents.parquet")
-    at = all_docs
+    all_docs = at = spark.read.parquet(f"{path}/documents.parquet")
+    kept = [sorted(tuple(r) for r in at.collect())]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         at = common.durable(stage(spark, at, path), name)
         assert at.columns == all_docs.columns and at.dtypes == all_docs.dtypes
-    assert corpus_pipeline.run(spark, path).count() == at.count() > 0
+        kept.append(sorted(tuple(r) for r in at.collect()))
+    scored = {r.doc_id: r.predicted for r in queries.op8_toxicity(spark, path).collect()}
+    assert kept[1] == [r for r in kept[0] if not scored[r[0]]] and len(kept[1]) < len(kept[0])
+
+    sets = [shingles(r[1]) for r in kept[1]]
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    linked = [(kept[1][i][0], kept[1][j][0]) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j]) >= 0.8]
+    first = set(brute_components([r[0] for r in kept[1]], linked).values())
+    assert kept[2] == [r for r in kept[1] if r[0] in first] and len(kept[2]) < len(kept[1])
+
+    scanner, masked = secrets.Scanner(secrets.RULES), []
+    for r in kept[2]:
+        text, done = "", 0
+        for value, end in sorted((s[3], s[2]) for s in scanner.scan([r[1]])[0]):
+            if value >= done:
+                text += r[1][done:value] + "[secret]"
+            done = max(done, end)
+        text += r[1][done:]
+        masked.append((r[0], text, r[2], r[3], len(text)))
+    assert kept[3] == masked
+    assert set(kept[4]) == set(kept[3]) and len(kept[4]) > len(kept[3])
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    want = [(r[0], r[3], len(ids := plain.encode(r[1], add_special_tokens=False).ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(r[1].encode()).hexdigest()) for r in kept[4]]
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, path).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == sorted(want)
     empty = all_docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, path).count() == 0
