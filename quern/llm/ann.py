@@ -113,8 +113,9 @@ def nearest_neighbours(
     Of ids with equal vectors only the k + 1 smallest can be neighbours, so the others are not indexed (exact,
     and it bounds copies). Columns besides id and vector are ignored. An empty table gives an empty result.
 
-    ``hashes`` a code follows the row count, so that a bucket holds about as many rows at any size; ``tables``
-    (12 a hash) and ``probes`` (of all tables together: 96 for one hash, 1300 for two) follow it. Buckets of
+    ``hashes`` a code (two, from some five million rows on three) and ``tables`` (12 a hash) follow the row
+    count. ``probes`` count over all tables together: 1300 for two hashes, and more the fewer the rows, whose
+    neighbours are farther away. Buckets of
     more than ``block`` rows or probes are cut into parts, and each part of the rows meets each part of the
     probes by itself. A task gets about ``slot_rows`` rows and probes. Queries with fewer than k rows found
     are searched once more, exactly, against all rows in blocks.
@@ -129,8 +130,9 @@ def nearest_neighbours(
     count, dim = base.agg(F.count(F.lit(1)), F.max("dim")).first()
     if not count:
         return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
-    hashes = hashes or max(1, math.floor(math.log(count / 2.4) / math.log(2 * width(dim))))
-    tables, probes = tables or 12 * hashes, probes or round(96 * 13.54 ** (hashes - 1))
+    hashes = hashes or max(2, math.floor(math.log(count / 2.4) / math.log(2 * width(dim))))
+    tables, probes = tables or 12 * hashes, probes or round(1300 * 13.54 ** (hashes - 2) * max(1.0, 51_000 / count) ** 0.5)
+    asked = asked.repartition(asked.sparkSession.sparkContext.defaultParallelism)  # probes are costly
 
     def place(query: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
