@@ -87,25 +87,10 @@ def plan_weights(tokens: DataFrame, target_entropy: float | None = None, max_rep
     return tokens.sparkSession.createDataFrame(rows, f"source {kind}, tokens long, share double, weight double, budget long")
 
 
-def mix_sources(
-    df: DataFrame,
-    source_col: str = "source",
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    target_entropy: float | None = None,
-    max_repeats: float | None = None,
-    budget: int | None = None,
-    block_tokens: int = 1_000_000,
-    seed: str = "mix",
-) -> DataFrame:
-    """(row_hash, id, source, tokens, copies, weight, pass, position) of the mixed corpus: a row for each time a document is taken.
-
-    ``position`` in [0, 1) interleaves the sources: the part of its source's budget that lies before the
-    document. Order by it to read the mixture. ``copies`` numbers wholly equal rows from 0; they are taken
-    like others. Full passes take every document of a source; the last pass goes past the budget by less than
-    one document. Null sources are a source of their own; null texts weigh one token. An empty table gives an
-    empty result.
-    """
+def _mixture(
+    df: DataFrame, source_col: str, id_col: str, text_col: str, target_entropy: float | None, max_repeats: float | None, budget: int | None, block_tokens: int, seed: str
+) -> tuple[DataFrame, DataFrame]:
+    """The distinct rows (row_hash, id, source, tokens, and their number n), and what ``mix_sources`` gives."""
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     rows = df.select(whole.alias("row_hash"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), count_tokens(F.col(f"`{text_col}`")).alias("tokens"))
     grouped = durable(rows.groupBy("row_hash", "id", "source", "tokens").agg(F.count(F.lit(1)).alias("n")), "mix-rows")
@@ -130,19 +115,59 @@ def mix_sources(
     order = F.xxhash64(F.lit(seed), F.lit("doc"), "pass", "row_hash", "copies")
     inner = Window.partitionBy(*keys).orderBy(order, "row_hash", "id", "copies").rowsBetween(Window.unboundedPreceding, -1)
     met = met.withColumn("at", F.col("before") + F.coalesce(F.sum("tokens").over(inner), F.lit(0))).where(F.col("at") < F.col("budget"))
-    return met.select("row_hash", "id", "source", "tokens", "copies", "weight", "pass", (F.col("at") / F.col("budget")).alias("position"))
+    return grouped, met.select("row_hash", "id", "source", "tokens", "copies", "weight", "pass", (F.col("at") / F.col("budget")).alias("position"))
 
 
-def mixed_documents(df: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``df``, each as often as the mixture takes it; options as of ``mix_sources``."""
-    taken = mix_sources(df, **options).groupBy("row_hash", "copies").agg(F.count(F.lit(1)).alias("times"))
-    taken = durable(taken.groupBy("row_hash").agg(F.sum("times").alias("times")), "mix-times")
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    taken = taken.select(F.col("row_hash").alias("__taken"), F.col("times").alias("__times"))
-    counted = df.withColumn("__row", whole).join(taken, F.col("__row") == F.col("__taken"))
-    # Wholly equal rows share the times taken: the n-th of them gets every n-th.
-    nth = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1)))
-    n = F.count(F.lit(1)).over(Window.partitionBy("__row"))
-    share = F.floor((F.col("__times") + n - nth) / n).cast("int")
-    counted = counted.withColumn("__share", share).where("__share > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__share"))))
-    return counted.select(*[F.col(f"`{c}`") for c in df.columns])
+def mix_sources(
+    df: DataFrame,
+    source_col: str = "source",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    target_entropy: float | None = None,
+    max_repeats: float | None = None,
+    budget: int | None = None,
+    block_tokens: int = 1_000_000,
+    seed: str = "mix",
+) -> DataFrame:
+    """(row_hash, id, source, tokens, copies, weight, pass, position) of the mixed corpus: a row for each time a document is taken.
+
+    ``position`` in [0, 1) interleaves the sources: the part of its source's budget that lies before the
+    document. Order by it to read the mixture. ``copies`` numbers wholly equal rows from 0; they are taken
+    like others. Full passes take every document of a source; the last pass goes past the budget by less than
+    one document. Null sources are a source of their own; null texts weigh one token. An empty table gives an
+    empty result.
+    """
+    return _mixture(df, source_col, id_col, text_col, target_entropy, max_repeats, budget, block_tokens, seed)[1]
+
+
+def mixed_documents(
+    df: DataFrame,
+    source_col: str = "source",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    target_entropy: float | None = None,
+    max_repeats: float | None = None,
+    budget: int | None = None,
+    block_tokens: int = 1_000_000,
+    seed: str = "mix",
+) -> DataFrame:
+    """The rows of ``df``, each as often as the mixture takes it; options and odd rows as of ``mix_sources``.
+
+    Wholly equal rows share the times that all of them are taken: each is read equally often, and what is left
+    over is read from one of them. So no group of copies is gathered in one task.
+    """
+    grouped, mixed = _mixture(df, source_col, id_col, text_col, target_entropy, max_repeats, budget, block_tokens, seed)
+    times = mixed.groupBy("row_hash").agg(F.count(F.lit(1)).alias("times"))
+    held = grouped.groupBy("row_hash").agg(F.sum("n").alias("n"))
+    taken = durable(times.join(held, "row_hash").select(F.col("row_hash").alias("__taken"), F.expr("times div n").alias("__each"), F.expr("times % n").alias("__over")), "mix-times")
+
+    rows = df.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    plain = [F.col(f"`{c}`") for c in df.columns]
+
+    def read(rows: DataFrame, taken: DataFrame, times: str) -> DataFrame:
+        met = rows.join(taken.where(f"{times} > 0"), F.col("__row") == F.col("__taken"))
+        return met.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+
+    over = taken.where("__over > 0")
+    one = rows.join(over.select(F.col("__taken").alias("__row")), "__row", "left_semi").dropDuplicates(["__row"])
+    return read(rows, taken, "__each").select(*plain).unionByName(read(one, over, "__over").select(*plain))
