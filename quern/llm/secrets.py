@@ -348,16 +348,28 @@ def scan_secrets(df: DataFrame, text_col: str = "text", out: str = "secrets", ru
     return df.withColumn(out, secret_spans(F.col(f"`{text_col}`"), rules))
 
 
+def masked(text: str, values: list[int], ends: list[int], mark: str) -> str:
+    """``text`` with ``mark`` in place of each stretch from a value's start to its end, in linear time; stretches that overlap become one."""
+    out, at = [], 0
+    for value, end in sorted(zip(values, ends)):
+        if value >= at:
+            out += [text[at:value], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
 def mask_secrets(df: DataFrame, text_col: str = "text", spans_col: str = "secrets", mark: str = "[secret]") -> DataFrame:
-    """Replaces each span's value by ``mark``; values that overlap are replaced together. Null texts stay null."""
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    text = F.col(f"`{text_col}`")
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["value"] >= acc["at"]
-        between = F.substring(text, acc["at"] + 1, s["value"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["text"], between, F.lit(mark))).otherwise(acc["text"]).alias("text"))
-
-    spans = F.array_sort(F.transform(F.col(f"`{spans_col}`"), lambda s: F.struct(s["value"].alias("value"), s["end"].alias("end"))))
-    masked = F.aggregate(spans, none, step, lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return df.withColumn(text_col, F.when(F.size(F.col(f"`{spans_col}`")) > 0, masked).otherwise(text))
+    """Replaces each span's value by ``mark``; values that overlap are replaced together.
+
+    Null texts stay null, texts without a span stay as they are, whole texts of any length are read. Rows stay
+    as they are, repeated ones too, and so do other columns. An empty table gives an empty result.
+    """
+    text, spans = F.col(f"`{text_col}`"), F.col(f"`{spans_col}`")
+
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series, values: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([masked(t, v, e, mark) if isinstance(t, str) else None for t, v, e in zip(texts, values, ends)], dtype=object)
+
+    found = F.size(spans) > 0  # other texts needn't go to Python
+    new = mask(F.when(found, text), F.transform(spans, lambda s: s["value"]), F.transform(spans, lambda s: s["end"]))
+    return df.withColumn(text_col, F.when(found, new).otherwise(text))
