@@ -79,8 +79,13 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None = None, words: int = 3, name: str = "fingerprint") -> DataFrame:
-    """The columns ``keep`` of ``df`` and the fingerprint of ``text`` as a long."""
-    keep = df.columns if keep is None else keep
+    """The columns ``keep`` of ``df`` (all, if none are named) and the fingerprint of ``text`` as a long.
+
+    Null texts and texts without a word have fingerprint 0; whole texts of any length are read, a block of
+    hashes at a time. Rows stay as they are, repeated ones too; a column named as the fingerprint is replaced.
+    An empty table gives an empty result.
+    """
+    keep = [c for c in (df.columns if keep is None else keep) if c != name]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -88,7 +93,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None =
             out[name] = np.array([fingerprint(t, words) for t in pdf["__text"]], dtype=np.int64)
             yield out
 
-    chosen = df.select(*keep, F.col(text).alias("__text"))
+    chosen = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     schema = chosen.drop("__text").withColumn(name, F.lit(0).cast("long")).schema
     return chosen.mapInPandas(run, schema)
 
@@ -143,8 +148,10 @@ def simhash_components(rows: DataFrame, key: str, bucket_limit: int = 256) -> Da
     """Adds ``component`` to rows that have a long column ``fp``: the smallest ``key`` of all rows reachable by links.
 
     Fingerprints link at 2 or fewer differing bits, equal ones included. Rows with a null key stay; they
-    take no part in the minimum, so a component of null keys alone has a null name.
+    take no part in the minimum, so a component of null keys alone has a null name. Repeated rows stay, null
+    fingerprints get a null component, and a column named component is replaced. An empty table gives an empty result.
     """
+    rows = rows.drop("component")
     per_fp = durable(rows.groupBy("fp").agg(F.min(key).alias("least")), "fingerprints")
     nodes = connected_components(fingerprint_links(per_fp.select("fp"), bucket_limit))
     placed = per_fp.join(nodes, per_fp.fp == nodes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
