@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,32 +39,52 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A column as a double of the same order; of strings the first six bytes count."""
-    c = F.col(f"`{name}`")
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return c.cast("double")
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``__rank``, a row's place from 0 in this order, and ``__all``, the number of rows.
 
+    A row's rank is its place in its partition of a range-partitioned sort plus the rows of the partitions
+    before. Only the counts of the partitions are ordered in one task and sent to all.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    ranged = durable(ranged.withColumn("__part", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))), name)
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"), F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"))
+    found = ranged.join(F.broadcast(offsets), "__part").withColumn("__rank", F.col("__before") + F.col("__at"))  # a row for each partition
+    return found.drop("__part", "__at", "__before")
 
-def hilbert_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: list[str] | None = None, n_shards: int = 24, bits: int = 4) -> DataFrame:
-    """(id, size, text_crc32, hilbert, shard, slot) for every row of ``df``.
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the column ``name`` as a double of the same order: numbers as they are, other values by their rank among the distinct ones."""
+    if isinstance(rows.schema[name].dataType, (T.NumericType, T.BooleanType, T.TimestampType)):
+        return rows.withColumn(name, F.col(name).cast("double"))
+    values = ranked(rows.select(F.col(name).alias("__value")).where("__value is not null").distinct(), ["__value"], "values")
+    values = durable(values.select("__value", F.col("__rank").cast("double").alias("__number")), "numbers")
+    return rows.join(values, F.col(name) == F.col("__value"), "left").withColumn(name, F.col("__number")).drop("__value", "__number")
+
+
+def hilbert_shards(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: list[str] | None = None, n_shards: int = 24, bits: int = 4, keep: list[str] | None = None
+) -> DataFrame:
+    """(id, size, text_crc32, hilbert, shard, slot) for every row of ``df``; with ``keep`` also ``row``, a struct of these columns.
 
     Law ``rows``: shards 0 to ``n_shards - 1`` hold counts at most one apart, and ``slot`` numbers a shard's
     rows from 0 without gaps. Size is the text's UTF-8 bytes plus 8; a null text has none and crc32 0.
-    ``dims`` are columns of ``df``, or ``size``; nulls lie in a dimension's first cell. Rows of the same cell
-    follow by the text's crc32 and then id, so equal texts of one cell stand together. Wholly equal rows keep
-    separate slots. An empty table gives an empty result.
+    ``dims`` are columns of ``df``, or ``size``; nulls lie in a dimension's first cell, and values that aren't
+    numbers count by their rank. Rows of the same cell follow by the text's crc32 and then id, so equal texts of
+    one cell stand together. Wholly equal rows keep separate slots. An empty table gives an empty result.
 
     The cuts between cells are approximate quantiles over all rows (2**bits - 1 numbers a dimension, whatever
-    the input). Ranks come from a range-partitioned sort: a row's rank is its place in its partition plus the
-    rows of the partitions before; only one count per partition is gathered.
+    the input).
     """
     dims = ["lang", "source", "size"] if dims is None else dims
     body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     size = F.octet_length(body).cast("long") + 8
-    numbers = [(size.cast("double") if d == "size" and d not in df.columns else as_number(df, d)).alias(f"__d{i}") for i, d in enumerate(dims)]
-    rows = durable(df.select(F.col(f"`{id_col}`").alias("__id"), size.alias("size"), F.crc32(body).alias("text_crc32"), *numbers), "rows")
+    values = [(size if d == "size" and d not in df.columns else F.col(f"`{d}`")).alias(f"__d{i}") for i, d in enumerate(dims)]
+    carried = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
+    rows = durable(df.select(F.col(f"`{id_col}`").alias("__id"), size.alias("size"), F.crc32(body).alias("text_crc32"), *values, *carried), "rows")
+    for i in range(len(dims)):
+        rows = numbered(rows, f"__d{i}")
 
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = rows.agg(*[F.percentile_approx(f"__d{i}", steps, 10_000) for i in range(len(dims))]).first()
@@ -75,29 +95,31 @@ def hilbert_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         cells = [np.where(v.isna(), 0, np.searchsorted(c, v.to_numpy(dtype=float), side="right")) for v, c in zip(values, cuts)]
         return pd.Series(hilbert_index(np.stack(cells, axis=1), bits))
 
-    order = ["hilbert", "text_crc32", "__id"]
-    placed = rows.select("__id", "size", "text_crc32", curve(*[F.col(f"__d{i}") for i in range(len(dims))]).alias("hilbert"))
-    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    ranged = durable(ranged.withColumn("__part", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))), "ranged")
-
-    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"), F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"))
-    ranked = ranged.join(F.broadcast(offsets), "__part").withColumn("__rank", F.col("__before") + F.col("__at"))  # a row for each partition
-    shard = F.expr(f"__rank * {n_shards} div __all")
+    more = ["row"] if keep else []
+    placed = rows.select("__id", "size", "text_crc32", curve(*[F.col(f"__d{i}") for i in range(len(dims))]).alias("hilbert"), *more)
+    whole = ranked(placed, ["hilbert", "text_crc32", "__id"], "ranged")
     start = F.expr(f"(shard * __all + {n_shards - 1}) div {n_shards}")
-    return ranked.withColumn("shard", shard).select(
-        F.col("__id").alias(id_col), "size", "text_crc32", "hilbert", F.col("shard").cast("int").alias("shard"), (F.col("__rank") - start).alias("slot")
+    return whole.withColumn("shard", F.expr(f"__rank * {n_shards} div __all")).select(
+        F.col("__id").alias(id_col), "size", "text_crc32", "hilbert", F.col("shard").cast("int").alias("shard"), (F.col("__rank") - start).alias("slot"), *more
     )
 
 
-def shard_ranges(df: DataFrame, placed: DataFrame, id_col: str, dims: list[str]) -> DataFrame:
-    """Per shard the rows and each dimension's minimum and maximum: what a reader needs to skip shards. Ids are unique."""
+def shard_ranges(sharded: DataFrame, dims: list[str]) -> DataFrame:
+    """Per shard of a table with the column ``shard`` its rows and each dimension's minimum and maximum: what a reader needs to skip shards.
+
+    Nulls count as rows only; a shard of nulls has null bounds. Repeated rows all count. An empty table gives an empty result.
+    """
     ranges = [f(F.col(f"`{d}`")).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))]
-    return df.drop("shard").join(placed.select(id_col, "shard"), id_col).groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), *ranges)
+    return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), *ranges)
+
 
+def write_shards(df: DataFrame, path: str, **options: object) -> None:
+    """Write ``df`` as one folder per shard, rows in slot order; options as of ``hilbert_shards``.
 
-def write_shards(df: DataFrame, placed: DataFrame, id_col: str, path: str) -> None:
-    """Write ``df`` as one folder per shard, rows in slot order. Ids are unique; a large shard spreads over several files."""
-    whole = df.drop("shard", "slot").join(placed.select(id_col, "shard", "slot"), id_col)
+    Every row is written once, whatever its id: null and repeated ids, and wholly equal rows, are rows like
+    others. Columns named shard or slot are replaced. A large shard spreads over several files.
+    """
+    kept = [c for c in df.columns if c not in ("shard", "slot")]
+    placed = hilbert_shards(df, keep=kept, **options)
+    whole = placed.select(*[F.col("row").getField(c).alias(c) for c in kept], "shard", "slot")
     whole.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -163,12 +163,27 @@ def test_shards_law(spark, odd):
     assert hilbert.hilbert_shards(odd.where("false")).count() == 0
 
 
-def test_shards_are_written_in_order(spark, tmp_path):
+def test_shards_are_written_in_order(spark, odd, tmp_path):
     df = docs(spark, [f"text {i}" for i in range(60)])
-    placed = hilbert.hilbert_shards(df, dims=["size"], n_shards=4)
-    hilbert.write_shards(df, placed, "doc_id", f"file://{tmp_path}/out")
-    assert spark.read.parquet(f"file://{tmp_path}/out").groupBy("shard").count().count() == 4
-    assert sum(r.n_rows for r in hilbert.shard_ranges(df, placed, "doc_id", ["n_chars"]).collect()) == 60
+    hilbert.write_shards(df, f"file://{tmp_path}/out", dims=["size"], n_shards=4)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert back.groupBy("shard").count().count() == 4
+    assert sum(r.n_rows for r in hilbert.shard_ranges(back, ["n_chars"]).collect()) == 60
+    hilbert.write_shards(odd, f"file://{tmp_path}/odd", n_shards=3)  # null and repeated ids are rows like others
+    back = spark.read.parquet(f"file://{tmp_path}/odd")
+    plain = [c for c in odd.columns if c != "shard"]
+    assert collections.Counter(map(tuple, back.select(plain).collect())) == collections.Counter(map(tuple, odd.select(plain).collect()))
+
+
+def test_shards_prune_on_every_dimension(spark):
+    rng = random.Random(3)
+    rows = [(i, "t", "en", f"https://example.org/{rng.randrange(64):02}", rng.randrange(10_000), 1, "k", 2, 3, 4) for i in range(2_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    placed = hilbert.hilbert_shards(df, dims=["source", "n_chars"], n_shards=16, keep=["source", "n_chars"])
+    ranges = hilbert.shard_ranges(placed.select("shard", "row.*"), ["source", "n_chars"]).collect()
+    assert sum(r.n_rows for r in ranges) == 2_000
+    assert np.mean([int(r.max_source[-2:]) - int(r.min_source[-2:]) for r in ranges]) < 0.4 * 64
+    assert np.mean([r.max_n_chars - r.min_n_chars for r in ranges]) < 0.4 * 10_000
 
 
 def test_exponent_meets_its_target():
@@ -200,6 +215,23 @@ def test_mixture_meets_its_budgets(spark):
     assert whole.columns == df.columns and collections.Counter(r.doc_id for r in whole.collect()) == seen
 
 
+def test_mixture_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "same words", "en", "small", 10, 1, "k", 2, 3, 4)] * 7 + [(i, "w", "en", "big", 1, 1, "k", 2, 3, 4) for i in range(10, 50)], SCHEMA)
+    want = collections.Counter(r.id for r in mixing.mix_sources(df, max_repeats=1.4, block_tokens=5).collect())
+    got = collections.Counter(r.doc_id for r in mixing.mixed_documents(df, max_repeats=1.4, block_tokens=5).collect())
+    assert got == want and want[1] % 7 and want[1] > 7
+    few = collections.Counter(r.doc_id for r in mixing.mixed_documents(df, max_repeats=1.4, budget=12).collect())
+    assert few == collections.Counter(r.id for r in mixing.mix_sources(df, max_repeats=1.4, budget=12).collect())
+
+
+def test_masks_take_linear_time():
+    text = "token=abcdef12 " * 100_000
+    spans = secrets.Scanner(secrets.RULES).scan([text])[0]
+    assert len(spans) == 100_000
+    assert secrets.masked(text, [s[3] for s in spans], [s[2] for s in spans], "[secret]") == "token=[secret] " * 100_000
+    assert secrets.masked("abcdefgh", [1, 2, 6], [4, 5, 7], "*") == "a*f*h"
+
+
 def test_mixture_of_odd_rows(spark, odd):
     assert mixing.mixed_documents(odd, max_repeats=1.5).count() >= odd.count()
     assert mixing.mix_sources(odd.where("false"), target_entropy=0.5).count() == 0
