@@ -131,7 +131,7 @@ def test_an_index_of_two_hashes_selects(spark):
         best = np.argsort(d, kind="stable")[:10]
         hits += len(set(best.tolist()) & set(got[q]))
         assert all(got[q][i] == d[i] for i in got[q])
-    assert hits / (10 * len(asked)) >= 0.87  # 0.917 over the 51,282 vectors of the check table; random ones are the hardest
+    assert hits / (10 * len(asked)) >= 0.9  # 0.917 over the 51,282 vectors of the check table
 
 
 def test_repeated_rows_of_vectors(spark):
