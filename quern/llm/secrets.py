@@ -54,6 +54,53 @@ MORE_RULES = [
     Rule("private_key", r"-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/=-]+", 27, any_case=True),
     Rule("sendgrid", r"SG\.[A-Za-z0-9_.-]+", 60),
+    Rule("adobe", r"p8e-[a-z0-9]+", 36),
+    Rule("age", r"AGE-SECRET-KEY-1[A-Z0-9]+", 74),
+    Rule("alibaba", r"LTAI[A-Za-z0-9]+", 20),
+    Rule("artifactory", r"AKCp[A-Za-z0-9]+", 60),
+    Rule("atlassian", r"ATATT3[A-Za-z0-9_=-]+", 100),
+    Rule("aws_session", r"(ASIA|ABIA|ACCA)[A-Z0-9]+", 20),
+    Rule("azure_storage", r"AccountKey=[A-Za-z0-9+/=]+", 80),
+    Rule("buildkite", r"bkua_[a-z0-9]+", 45),
+    Rule("clojars", r"CLOJARS_[a-z0-9]+", 68),
+    Rule("contentful", r"CFPAT-[A-Za-z0-9_-]+", 49),
+    Rule("databricks", r"dapi[0-9a-f]+", 36),
+    Rule("digitalocean", r"do[oprt]_v1_[0-9a-f]+", 71),
+    Rule("docker", r"dckr_pat_[A-Za-z0-9_-]+", 36),
+    Rule("doppler", r"dp\.pt\.[A-Za-z0-9]+", 46),
+    Rule("duffel", r"duffel_(test|live)_[A-Za-z0-9_=-]+", 50),
+    Rule("dynatrace", r"dt0c01\.[A-Z0-9.]+", 90),
+    Rule("easypost", r"EZ[AT]K[A-Za-z0-9]+", 58),
+    Rule("figma", r"figd_[A-Za-z0-9_-]+", 45),
+    Rule("flutterwave", r"FLWSECK(_TEST)?-[0-9a-z]+", 20),
+    Rule("frameio", r"fio-u-[A-Za-z0-9_=-]+", 70),
+    Rule("google_client", r"GOCSPX-[A-Za-z0-9_-]+", 35),
+    Rule("google_access", r"ya29\.[A-Za-z0-9_-]+", 40),
+    Rule("grafana", r"glsa_[A-Za-z0-9_]+", 46),
+    Rule("huggingface", r"hf_[A-Za-z0-9]+", 37),
+    Rule("linear", r"lin_api_[A-Za-z0-9]+", 48),
+    Rule("mailgun", r"(pub)?key-[0-9a-f]+", 36),
+    Rule("newrelic", r"NRAK-[A-Z0-9]+", 32),
+    Rule("notion", r"ntn_[A-Za-z0-9]+", 46),
+    Rule("openai", r"sk-[A-Za-z0-9_-]+", 51),
+    Rule("planetscale", r"pscale_(tkn|pw|oauth)_[A-Za-z0-9=._-]+", 43),
+    Rule("postman", r"PMAK-[0-9a-f-]+", 60),
+    Rule("prefect", r"pnu_[a-z0-9]+", 40),
+    Rule("pulumi", r"pul-[0-9a-f]+", 44),
+    Rule("pypi", r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]+", 70),
+    Rule("readme", r"rdme_[a-z0-9]+", 75),
+    Rule("replicate", r"r8_[A-Za-z0-9]+", 40),
+    Rule("rubygems", r"rubygems_[0-9a-f]+", 57),
+    Rule("sendinblue", r"xkeysib-[0-9A-Za-z-]+", 80),
+    Rule("sentry", r"sntry[su]_[A-Za-z0-9+/=_]+", 64),
+    Rule("shippo", r"shippo_(live|test)_[0-9a-f]+", 52),
+    Rule("shopify", r"shp(at|ca|pa|ss)_[0-9A-Fa-f]+", 38),
+    Rule("slack_hook", r"hooks\.slack\.com/(services|workflows)/[A-Za-z0-9+/]+", 60),
+    Rule("square", r"sq0(atp|csp|idp)-[A-Za-z0-9_-]+", 29),
+    Rule("supabase", r"sbp_[0-9a-f]+", 44),
+    Rule("tailscale", r"tskey-(auth|api|client)-[A-Za-z0-9-]+", 30),
+    Rule("typeform", r"tfp_[A-Za-z0-9_.=-]+", 50),
+    Rule("vault", r"hv[bs]\.[A-Za-z0-9_-]+", 90),
 ]
 RULES = BASE_RULES + MORE_RULES
 
@@ -211,12 +258,17 @@ def compile_rules(rules: list[Rule], anywhere: bool) -> Automaton:
     sample = [int(np.argmax(class_of == k)) for k in range(len(kinds))]
 
     first = closure(set(starts))
+    after = [closure({m[1]}) if m else frozenset() for m in nfa.moves]
+    takes = [[k for k, b in enumerate(sample) if m and b in m[0]] for m in nfa.moves]
     number, order, table = {first: 0}, [first], []
     for here in order:
+        to: list[set[int]] = [set() for _ in sample]
+        for s in here:
+            for k in takes[s]:
+                to[k] |= after[s]
         row = []
-        for b in sample:
-            to = {nfa.moves[s][1] for s in here if nfa.moves[s] and b in nfa.moves[s][0]}
-            nxt = closure(to | set(starts)) if anywhere else closure(to)
+        for states in to:
+            nxt = (first | states if states else first) if anywhere else frozenset(states)
             if nxt not in number:
                 number[nxt] = len(order)
                 order.append(nxt)
@@ -242,6 +294,8 @@ class Scanner:
     """Finds all rules' matches in texts. Built on the driver, sent with the tasks."""
 
     def __init__(self, rules: list[Rule]) -> None:
+        if len(rules) > 63:
+            raise ValueError("an automaton has a bit of 63 for each rule; scan in turns for more")
         self.rules = rules
         self.all = compile_rules(rules, anywhere=True)
         self.own = [compile_rules([r], anywhere=False) for r in rules]
@@ -256,8 +310,8 @@ class Scanner:
         order = np.argsort(-sizes, kind="stable")
         starts, sizes = starts[order], sizes[order]
         classes = self.all.class_of.astype(np.uint8)[data]
-        step, accepts, width = self.all.step.astype(np.int32), self.all.accepts.astype(np.int32), self.all.classes
-        state, bits = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
+        step, accepts, width = self.all.step.astype(np.int32), self.all.accepts, self.all.classes
+        state, bits = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int64)
         longest = int(sizes[0]) if len(sizes) else 0
         left = np.searchsorted(-sizes, -np.arange(longest), side="left")  # the number of pieces longer than k
         for k in range(longest):
