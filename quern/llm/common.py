@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +43,18 @@ def alone(build: Callable[[], DataFrame], name: str) -> DataFrame:
     return result
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """``names`` as names of further columns: each is lengthened until no column of ``taken`` has it, whatever the letter case."""
+    held = {c.lower() for c in taken}
+    found = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        found.append(name)
+    return found
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on as many tasks as there are cores, if it has fewer than two for each: for costly Python on small tables."""
     cores = df.sparkSession.sparkContext.defaultParallelism

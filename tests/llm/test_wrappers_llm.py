@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op9_temperature_mixing": "doc_id bigint, source string, tokens bigint, copies int, weight double, pass bigint, position double",
     "op10_pii_surrogates": "doc_id bigint, n_entities bigint, text string",
+    "op11_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12_spelling_variants": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
+    "op13_line_dedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
 }
 
 
@@ -56,6 +59,8 @@ def test_columns_types_and_rows(spark, empty, texts, name):
         assert {r.doc_id for r in rows} == set(texts) and all(0 <= r.position < 1 for r in rows)
     elif name == "op3_embedding_near_dedup":
         assert len(rows) == 500 and all(r.kept == (r.vec_id == r.component_id) for r in rows)
+    elif name == "op12_spelling_variants":
+        assert rows and all(r.n >= 5 and len(r.word) >= 6 and (r.form is None) == (r.form_n is None) for r in rows)
     else:
         assert sorted(r.doc_id for r in rows) == sorted(texts)
     if name == "op4_hilbert_sharding":
