@@ -8,10 +8,11 @@ IBANs stay valid, octets stay octets, given names keep gender and script and fam
 names script. The same entity gets the same surrogate in every document and format
 (coreference), whoever runs the job, as long as the key is the same.
 
-Numbers and addresses are mapped by a keyed permutation of all values of their
-format, so different ones stay different. Family names have no such enumeration:
-they are hashed to syllables, as many as keep collisions few, and a check over all
-distinct entities of the corpus finds surrogates that two share, or that a real name
+Numbers and addresses are mapped by a keyed permutation, without fixed points, of all
+values of their format, so that different ones stay different and none stays itself,
+even where a corpus has all of them; phone numbers keep their country code. Names have no
+such enumeration: they are hashed to syllables, as many as keep collisions few, and a check over all
+distinct names of the corpus finds surrogates that two share, or that a real name
 has. All but one of those move on to the next attempt until none is shared. The
 entities that moved are few by construction and go to the tasks as a table.
 """
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import durable
+from quern.llm.common import durable, fresh
 
 # Given names by script and gender.
 GIVEN = {
@@ -47,6 +48,8 @@ SYLLABLES = {
 }
 # Endings of given names that are in no list, by script and gender.
 ENDINGS = {("latin", "f"): "na", ("latin", "m"): "rt", ("cyrillic", "f"): "на", ("cyrillic", "m"): "р", ("greek", "f"): "να", ("greek", "m"): "ς"}
+# Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGITS = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _WHO = {name: key for key, names in GIVEN.items() for name in names}
 _UP = "A-ZÀ-ÖØ-ÞΆΈ-ΫА-ЯЁ"
 PATTERNS = [
@@ -87,6 +90,11 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def country_code(digits: str) -> int:
+    """The number of digits of an international number's country code."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3
+
+
 def _script(word: str) -> str:
     c = word[0]
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
@@ -120,6 +128,8 @@ def detect(text: str | None) -> list[Entity]:
             if kind == "card" and b - a == len(canon) and _luhn(canon[:-1]) != int(canon[-1]):
                 continue
             shape = m.group().split("@")[1].rsplit(".", 1)[1].lower() if kind == "email" else canon[:2] if kind == "iban" else ""
+            if kind == "phone" and m.group()[0] == "+":
+                shape = "+" + canon[: country_code(canon)]
             add(kind, shape, m.group() if kind == "ip" else canon, a, b)
     before = len(found)
     for m in _NAME.finditer(text):
@@ -131,7 +141,7 @@ def detect(text: str | None) -> list[Entity]:
             if second:
                 add("family", _script(second), second.lower(), *m.span(3))
         elif title and second:
-            add("given", f"{_script(first)} {gender or 'm'}", first, *m.span(2))
+            add("given", f"{_script(first)} {gender or 'u'}", first, *m.span(2))  # u: not known
             add("family", _script(second), second.lower(), *m.span(3))
         elif title:
             add("family", _script(first), first.lower(), *m.span(2))
@@ -160,20 +170,31 @@ class Surrogates:
             data += hashlib.blake2b(data, key=self.key[:64], digest_size=32).digest()
         return int.from_bytes(data[:size], "big")
 
-    def permute(self, value: int, count: int, tweak: str) -> int:
-        """A keyed permutation of 0 to count - 1: eight Feistel rounds, walked until the result is in range."""
-        if count < 2:
-            return value
+    def _mixed(self, value: int, count: int, tweak: str, back: bool = False) -> int:
+        """A keyed permutation of 0 to count - 1, or its inverse: eight Feistel rounds, walked until the result is in range."""
         half = ((count - 1).bit_length() + 1) // 2
         mask, size = (1 << half) - 1, half // 8 + 9
         while True:
             left, right = value >> half, value & mask
-            for r in range(8):
-                left, right = right, left ^ (self._hash(f"{tweak}|{r}", right, size) & mask)
+            for r in reversed(range(8)) if back else range(8):
+                if back:
+                    left, right = right ^ (self._hash(f"{tweak}|{r}", left, size) & mask), left
+                else:
+                    left, right = right, left ^ (self._hash(f"{tweak}|{r}", right, size) & mask)
             value = left << half | right
             if value < count:
                 return value
 
+    def permute(self, value: int, count: int, tweak: str) -> int:
+        """A keyed permutation of 0 to count - 1 without a fixed point: a step round the circle, seen through a permutation.
+
+        So no value is its own surrogate and no two share one, even if all values of a format are in use.
+        """
+        if count < 2:
+            return value
+        step = 1 + self._hash(f"{tweak}|step", 0, 16) % (count - 1)
+        return self._mixed((self._mixed(value, count, tweak) + step) % count, count, tweak, back=True)
+
     def _radix(self, places: list[tuple[int, int]], tweak: str) -> list[int]:
         """Permutes all values of mixed-radix digits (digit, base) at once."""
         value, count = 0, 1
@@ -204,7 +225,8 @@ class Surrogates:
             body, tld = canon.rsplit(".", 1)
             return self._letters(body, tweak) + "." + tld
         if kind in ("phone", "ssn"):
-            return self._letters(canon, tweak)
+            code = len(group.removeprefix("+"))  # the country's, which stays
+            return canon[:code] + self._letters(canon[code:], tweak)
         if kind == "card":
             off = (int(canon[-1]) - _luhn(canon[:-1])) % 10
             body = self._letters(canon[:-1], f"{tweak}|{off}")
@@ -218,7 +240,7 @@ class Surrogates:
             new = self._radix([(int(o) - lows[len(o)], sizes[len(o)]) for o in octets], f"{tweak}|{'.'.join(str(len(o)) for o in octets)}")
             return ".".join(str(d + lows[len(o)]) for d, o in zip(new, octets))
         if kind == "given":
-            names = GIVEN[tuple(group.split(" "))]
+            names = GIVEN.get(tuple(group.split(" ")), [])
             if canon in names:  # the next one on a keyed cycle through the list: none is its own
                 cycle = sorted(names, key=lambda n: self._hash(f"given|{group}|{n}", 0, 16))
                 return cycle[(cycle.index(canon) + 1) % len(cycle)]
@@ -260,26 +282,28 @@ class Surrogates:
 def fit_surrogates(df: DataFrame, key: bytes, text_col: str = "text", max_moved: int = 100_000, max_rounds: int = 20, alphabet: dict[str, list[str]] | None = None) -> Surrogates:
     """The mapping for all texts of ``df``, with its collision checks done over all distinct entities.
 
-    Given names of a list go round a cycle through it and can't collide; all else takes part in the check. The
+    Numbers, addresses and given names of a list are permuted and can't collide; all other names take part in the check. The
     number of a name's syllables follows the count of distinct names, so that fewer than about a thousand
     collide; ``max_moved`` is the bound of what is sent to the tasks, beyond which names get longer. Rounds
-    after the first look at the entities that clashed only. Null and empty texts have no entities; texts and
+    after the first look at the entities that clashed only. If names of twelve syllables more don't settle either (with an
+    alphabet of one syllable, say), it raises an error. Null and empty texts have no entities; texts and
     entities may repeat, and an empty table gives a mapping in which nothing moved.
     """
 
     @F.pandas_udf("array<struct<kind:string,group:string,canon:string>>")
     def entities(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted({(e.kind, e.group, e.canon) for e in detect(t if isinstance(t, str) else None) if e.canon not in _WHO}) for t in texts], dtype=object)
+        return pd.Series([sorted({(e.kind, e.group, e.canon) for e in detect(t if isinstance(t, str) else None) if e.kind in ("given", "family") and e.canon not in _WHO}) for t in texts], dtype=object)
 
     atoms = df.select(F.explode(entities(F.col(f"`{text_col}`"))).alias("e")).select("e.*").distinct()
     atoms = durable(atoms, "entities")
-    names = atoms.where("kind in ('family', 'given')").groupBy("group").count().collect()  # a row for each script and gender
+    names = atoms.groupBy("group").count().collect()  # a row for each script and gender
     mapping = Surrogates(key, alphabet=alphabet or SYLLABLES)
     while any(r["count"] ** 2 > 2000 * len(mapping.alphabet[r["group"].split(" ")[0]]) ** mapping.syllables for r in names):
         mapping.syllables += 1
-    real = atoms.where("kind in ('family', 'given')").select("kind", "group", F.col("canon").alias("new"))
+    real = atoms.select("kind", "group", F.col("canon").alias("new"))
     form = ["kind", "group", "new"]
-    while True:
+    longest = mapping.syllables + 12
+    while mapping.syllables <= longest:
         now = Surrogates(key, mapping.syllables, alphabet=mapping.alphabet)
 
         @F.pandas_udf("string")
@@ -313,6 +337,7 @@ def fit_surrogates(df: DataFrame, key: bytes, text_col: str = "text", max_moved:
             mapping.moved = moved
             return mapping
         mapping.syllables += 1
+    raise RuntimeError(f"names of {longest} syllables still collide after {max_rounds} rounds")
 
 
 def replace_entities(df: DataFrame, mapping: Surrogates, text_col: str = "text", spans_col: str = "entities") -> DataFrame:
@@ -327,6 +352,7 @@ def replace_entities(df: DataFrame, mapping: Surrogates, text_col: str = "text",
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.replace(t if isinstance(t, str) else None) for t in texts], columns=["text", "spans"])
 
-    done = df.withColumn("__new", run(F.col(f"`{text_col}`")))
-    kept = [F.col("__new.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns if c != spans_col]
-    return done.select(*kept, F.col("__new.spans").alias(spans_col))
+    new = fresh([*df.columns, spans_col], "new")[0]
+    done = df.withColumn(new, run(F.col(f"`{text_col}`")))
+    kept = [F.col(new)["text"].alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns if c != spans_col]
+    return done.select(*kept, F.col(new)["spans"].alias(spans_col))

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import bpe, licenses, queries, secrets, surrogates, toxicity
 
@@ -337,3 +338,33 @@ def test_permutation_is_one_to_one(count, tweak):
     mapping = surrogates.Surrogates(b"k")
     values = range(min(count, 300))
     assert len({mapping.permute(v, count, tweak) for v in values}) == len(values)
+
+
+def test_full_formats_settle_and_no_value_stays(spark):
+    """All quads of one-digit octets and all addresses of a short shape: every surrogate is another value, and all are distinct."""
+    quads = [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)]
+    mails = [f"{a}@{b}.io" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    df = spark.createDataFrame([(" and ".join(quads),), (" and ".join(mails),)], "text string")
+    mapping = surrogates.fit_surrogates(df, b"registered query")
+    for row, old in zip(surrogates.replace_entities(df, mapping).collect(), (quads, mails)):
+        new = row.text.split(" and ")
+        assert len({*new}) == len(old) and not any(a == b for a, b in zip(old, new)) and {len(x) for x in new} == {len(old[0])}
+    hopeless = spark.createDataFrame([("Mr. Aba met Mr. Bab and Mr. Cac",)], "text string")
+    with pytest.raises(RuntimeError, match="still collide"):
+        surrogates.fit_surrogates(hopeless, b"k", alphabet={"latin": ["ba"]}, max_rounds=1)
+
+
+def test_phones_keep_their_country_and_unknown_genders_stay_unknown():
+    mapping = surrogates.Surrogates(b"k")
+    for number, code in (("+1 415 555 0123", "+1 "), ("+49 30 1234567", "+49 "), ("+358 40 123 4567", "+358 "), ("+7 495 123-45-67", "+7 ")):
+        (e,) = surrogates.detect(f"call {number}.")
+        new = mapping.render(number, mapping.of(e.kind, e.group, e.canon), e.kind)
+        assert new.startswith(code) and new != number
+    assert [e.group for e in surrogates.detect("Dr. Xelda Moor")] == ["latin u", "latin"]
+
+
+def test_own_columns_pass_the_license_scan_and_surrogates(spark):
+    mine = {c: F.lit(c) for c in ("words", "kws", "norm", "hits", "kept", "base", "new", "__words", "__hits", "__new")}
+    df = spark.createDataFrame([(1, "under the MIT license, says Dr. Emma Stone")], "doc_id int, text string").withColumns(mine)
+    for done in (licenses.scan_licenses(df), surrogates.replace_entities(df, surrogates.fit_surrogates(df, b"k"))):
+        assert {c: done.first()[c] for c in mine} == {c: c for c in mine}
