@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, mixing, secrets, simhash, toxicity
-from quern.llm.common import alone
+from quern.llm.common import alone, fresh
 from quern.llm.queries import tokenizer_path
 
 
@@ -25,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Equal texts have equal scores, so they stay or go together; repeated rows all stay or all go.
     """
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_toxicity(docs, model, out="__toxicity").where("__toxicity.score < 0.5").drop("__toxicity")
+    out = fresh(docs.columns, "toxicity")[0]
+    return toxicity.score_toxicity(docs, model, out=out).where(F.col(out)["score"] < 0.5).drop(out)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the values of secrets replaced; n_chars follows the text. Values that overlap are replaced together; repeated rows stay."""
-    masked = secrets.mask_secrets(secrets.scan_secrets(docs, out="__secrets"), spans_col="__secrets").drop("__secrets")
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = fresh(docs.columns, "secrets")[0]
+    masked = secrets.mask_secrets(secrets.scan_secrets(docs, out=out), spans_col=out).drop(out)
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

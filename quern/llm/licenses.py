@@ -16,6 +16,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import fresh
+
 # Label, keyword, and the licence's name as a regex over words.
 NAMES = [
     ("mit", "mit", "mit"),
@@ -298,13 +300,17 @@ def _suppressed(hits: Column) -> Column:
     return F.aggregate(blocks, empty, fold, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["now"]["out"]))))
 
 
+#: The columns that a scan adds.
+MADE = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "license_hits")
+
+
 def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with n_words, n_base, first_word, last_word, base_labels, labels, score and ``license_hits``.
 
     ``license_hits`` has the detections that were not suppressed: start and end (in words), priority, rule,
     label. Base phrases count wherever their words stand consecutively, suppressed or not. A null text counts
     as empty: no words, no labels (empty strings), score 0. Of detections of one interval and priority the
-    first rule's stays. Columns of ``df`` with these names are replaced; any number of rows, repeated or not,
+    first rule's stays. Columns of ``df`` with these names are replaced, all others pass through; any number of rows, repeated or not,
     stay as they are, and an empty table stays empty. Whole texts are scanned; time grows nearly in proportion
     to a text's length (a text of a million letters with 83,000 notices takes about ten seconds).
     """
@@ -313,25 +319,26 @@ def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
     keywords = F.lit(sorted({r["kw"] for r in rules()}))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lowered = F.translate(text, UPPER, LOWER)
+    own = dict(zip(("words", "kws", "norm", "hits", "kept", "base"), fresh([*df.columns, *MADE], "words", "kws", "norm", "hits", "kept", "base")))
     out = df.withColumn("n_words", F.size(F.regexp_extract_all(text, F.lit(WORD.replace(r"\x60", r"\x40\x5B-\x60")), F.lit(0))).cast("long"))
-    out = out.withColumn("__words", F.when(gate(lowered), F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))))
-    out = out.withColumn("__kws", F.array_intersect("__words", keywords))
-    chosen = F.filter(table, lambda r: F.array_contains("__kws", r["kw"]))
-    out = out.withColumn("__norm", F.when(F.size("__kws") > 0, F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))))
-    out = out.withColumn("__hits", F.when(F.col("__norm").isNotNull(), F.array_sort(_hits(F.col("__norm"), chosen))))
-    out = out.withColumn("__hits", F.coalesce("__hits", F.array().cast(f"array<{_HIT}>")))
-    out = out.withColumn("__kept", _suppressed(F.col("__hits"))).withColumn("__base", F.filter("__hits", lambda h: h["base"]))
-    labels = F.array_union(F.transform("__kept", lambda h: h["label"]), F.transform("__base", lambda h: h["label"]))
+    out = out.withColumn(own["words"], F.when(gate(lowered), F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))))
+    out = out.withColumn(own["kws"], F.array_intersect(own["words"], keywords))
+    chosen = F.filter(table, lambda r: F.array_contains(own["kws"], r["kw"]))
+    out = out.withColumn(own["norm"], F.when(F.size(own["kws"]) > 0, F.concat(F.lit(" "), F.array_join(own["words"], " "), F.lit(" "))))
+    out = out.withColumn(own["hits"], F.when(F.col(own["norm"]).isNotNull(), F.array_sort(_hits(F.col(own["norm"]), chosen))))
+    out = out.withColumn(own["hits"], F.coalesce(own["hits"], F.array().cast(f"array<{_HIT}>")))
+    out = out.withColumn(own["kept"], _suppressed(F.col(own["hits"]))).withColumn(own["base"], F.filter(own["hits"], lambda h: h["base"]))
+    labels = F.array_union(F.transform(own["kept"], lambda h: h["label"]), F.transform(own["base"], lambda h: h["label"]))
     sure = F.array(*[F.lit(s) for s in SURENESS])
     out = out.select(
-        *[F.col(f"`{c}`") for c in df.columns if c not in ("n_base", "first_word", "last_word", "base_labels", "labels", "score", "license_hits", "n_words")],
+        *[F.col(f"`{c}`") for c in df.columns if c not in MADE],
         "n_words",
-        F.size("__base").cast("long").alias("n_base"),
-        F.array_min(F.transform("__base", lambda h: h["start"])).cast("long").alias("first_word"),
-        F.array_max(F.transform("__base", lambda h: h["start"])).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("__base", lambda h: h["label"]))), ",").alias("base_labels"),
+        F.size(own["base"]).cast("long").alias("n_base"),
+        F.array_min(F.transform(own["base"], lambda h: h["start"])).cast("long").alias("first_word"),
+        F.array_max(F.transform(own["base"], lambda h: h["start"])).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(own["base"], lambda h: h["label"]))), ",").alias("base_labels"),
         F.array_join(F.array_sort(labels), ",").alias("labels"),
-        F.coalesce(F.array_max(F.transform("__kept", lambda h: F.element_at(sure, h["priority"] + 1))), F.lit(0.0)).alias("score"),
-        F.transform("__kept", lambda h: F.struct(h["start"].alias("start"), (-h["back"]).alias("end"), h["priority"].alias("priority"), h["rule"].alias("rule"), h["label"].alias("label"))).alias("license_hits"),
+        F.coalesce(F.array_max(F.transform(own["kept"], lambda h: F.element_at(sure, h["priority"] + 1))), F.lit(0.0)).alias("score"),
+        F.transform(own["kept"], lambda h: F.struct(h["start"].alias("start"), (-h["back"]).alias("end"), h["priority"].alias("priority"), h["rule"].alias("rule"), h["label"].alias("label"))).alias("license_hits"),
     )
     return out

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import durable
+from quern.llm.common import durable, fresh
 
 
 def temperature_weights(shares: dict[object, float], exponent: float) -> dict[object, float]:
@@ -154,20 +154,21 @@ def mixed_documents(
     """The rows of ``df``, each as often as the mixture takes it; options and odd rows as of ``mix_sources``.
 
     Wholly equal rows share the times that all of them are taken: each is read equally often, and what is left
-    over is read from one of them. So no group of copies is gathered in one task.
+    over is read from one of them. So no group of copies is gathered in one task. Columns come back as they are, whatever their names.
     """
     grouped, mixed = _mixture(df, source_col, id_col, text_col, target_entropy, max_repeats, budget, block_tokens, seed)
     times = mixed.groupBy("row_hash").agg(F.count(F.lit(1)).alias("times"))
     held = grouped.groupBy("row_hash").agg(F.sum("n").alias("n"))
-    taken = durable(times.join(held, "row_hash").select(F.col("row_hash").alias("__taken"), F.expr("times div n").alias("__each"), F.expr("times % n").alias("__over")), "mix-times")
+    row, taken_row, each, left, i = fresh(df.columns, "row", "taken_row", "each", "left", "i")
+    taken = durable(times.join(held, "row_hash").select(F.col("row_hash").alias(taken_row), F.expr("times div n").alias(each), F.expr("times % n").alias(left)), "mix-times")
 
-    rows = df.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    rows = df.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     plain = [F.col(f"`{c}`") for c in df.columns]
 
     def read(rows: DataFrame, taken: DataFrame, times: str) -> DataFrame:
-        met = rows.join(taken.where(f"{times} > 0"), F.col("__row") == F.col("__taken"))
-        return met.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+        met = rows.join(taken.where(F.col(times) > 0), F.col(row) == F.col(taken_row))
+        return met.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
 
-    over = taken.where("__over > 0")
-    one = rows.join(over.select(F.col("__taken").alias("__row")), "__row", "left_semi").dropDuplicates(["__row"])
-    return read(rows, taken, "__each").select(*plain).unionByName(read(one, over, "__over").select(*plain))
+    over = taken.where(F.col(left) > 0)
+    one = rows.join(over.select(F.col(taken_row).alias(row)), row, "left_semi").dropDuplicates([row])
+    return read(rows, taken, each).select(*plain).unionByName(read(one, over, left).select(*plain))

@@ -398,7 +398,11 @@ def secret_spans(text: Column, rules: list[Rule] | None = None) -> Column:
 
 
 def scan_secrets(df: DataFrame, text_col: str = "text", out: str = "secrets", rules: list[Rule] | None = None) -> DataFrame:
-    """``df`` with the column ``out``: see ``secret_spans``. Rows stay as they are, repeated ones too."""
+    """``df`` with the column ``out``: see ``secret_spans``.
+
+    Rows stay as they are, repeated ones too, whole texts of any length are read in one pass, an empty table gives an
+    empty one, and a column named ``out`` is replaced.
+    """
     return df.withColumn(out, secret_spans(F.col(f"`{text_col}`"), rules))
 
 

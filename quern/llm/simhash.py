@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected_components, durable
+from quern.llm.common import connected_components, durable, fresh
 
 SEED = 42
 MAX_BITS = 2
@@ -319,6 +319,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wholly equal one stays. Null texts count as empty; texts without a word form one group. Texts are compared
     whole. An empty table gives an empty result; extra columns of any name pass through.
     """
+    own_row, nth, kept_id, kept_row = fresh(docs.columns, "own_row", "nth", "kept_id", "kept_row")
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     slim = docs.select(F.col(f"`{id_col}`").alias("__id"), row_hash.alias("__row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
     slim = slim.withColumn("key", F.unhex(F.md5(F.col("__text").cast("binary"))))
@@ -355,9 +356,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         nodes = connected_components(more.unionByName(nodes.select(F.col("key").alias("u"), F.col("component").alias("v")))).withColumnRenamed("node", "key")
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
     firsts = rows.groupBy("key").agg(F.min(order).alias("k")).join(nodes, "key", "left")
-    kept = firsts.groupBy(F.coalesce("component", "key").alias("c")).agg(F.min("k").alias("k")).select(F.col("k.id").alias("__kid"), F.col("k.row").alias("__krow"))
+    kept = firsts.groupBy(F.coalesce("component", "key").alias("c")).agg(F.min("k").alias("k")).select(F.col("k.id").alias(kept_id), F.col("k.row").alias(kept_row))
     kept = durable(kept, "kept")
-    tagged = docs.withColumn("__row", row_hash)
-    found = tagged.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kid")) & (F.col("__row") == F.col("__krow")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1)))  # wholly equal rows
-    return found.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    tagged = docs.withColumn(own_row, row_hash)
+    found = tagged.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(kept_id)) & (F.col(own_row) == F.col(kept_row)), "left_semi")
+    number = F.row_number().over(Window.partitionBy(own_row).orderBy(F.lit(1)))  # wholly equal rows
+    return found.withColumn(nth, number).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

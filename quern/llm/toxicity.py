@@ -263,7 +263,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text",
 
     Texts that share no word with an example, null and empty ones among them, have the share of toxic labels
     among such examples (all examples, if there are none) as their score, and no evidence. Rows stay as they
-    are, repeated ones too; whole texts of any length count. A column named ``out`` is replaced.
+    are, repeated ones too; whole texts of any length count. A column named ``out`` is replaced. An empty table gives an empty one.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples
 

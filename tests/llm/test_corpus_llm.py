@@ -283,3 +283,18 @@ def test_pipeline_stages_take_odd_rows(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         at = common.durable(stage(spark, at, "/root/testdata/sf0.001"), name)
         assert at.count() >= 6
+
+
+def test_stages_return_columns_of_any_name_as_they_are(spark):
+    """Extra columns named after everything that the stages use inside, of other types than theirs."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    names = "row own_row nth kept_id kept_row taken_row each left i toxicity secrets key fp samples set component times n __row __toxicity __secrets __i __nth __new __words __taken".split()
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumns({n: F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, docs, data)
+        assert done.dtypes == docs.dtypes
+        rows = done.collect()
+        assert rows and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names)
