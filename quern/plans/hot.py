@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import graph, ordered, similar
+from quern.operators import graph, joins, ordered, similar
 from quern.session import table
 
 
@@ -44,6 +44,14 @@ def hot_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return found.select("lang", *[F.round(p, 4).alias(p) for p in ("p0", "p1", "p2")])
 
 
+def hot_salted_join(spark: SparkSession, d: str) -> DataFrame:
+    """Documents joined with what the labels say of their source; the source that holds most documents is dealt over tasks."""
+    docs = _docs(spark, d)
+    toxic = docs.join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("labelled"), F.sum("toxic").alias("toxic"))
+    met = joins.salted_join(docs.select("source", "doc_id", "n_chars"), toxic, ["source"], how="left")
+    return met.select("doc_id", "source", "n_chars", "labelled", "toxic")
+
+
 def recursive_reach(spark: SparkSession, d: str) -> DataFrame:
     """Customers reached from each nation's first customer, from one to the next if both had the same part shipped in one week."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.date_trunc("week", "l_shipdate").alias("week"))
@@ -81,6 +89,10 @@ HOT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         hot_percentiles,
         "SELECT lang, round(quantile_cont(n_chars, 0.05), 4) AS p0, round(quantile_cont(n_chars, 0.5), 4) AS p1, round(quantile_cont(n_chars, 0.99), 4) AS p2 FROM documents GROUP BY lang",
     ),
+    "hot_salted_join": (
+        hot_salted_join,
+        """SELECT doc_id, source, n_chars, labelled, toxic FROM documents LEFT JOIN (SELECT source, count(*) AS labelled, CAST(sum(toxic) AS BIGINT) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY source) USING (source)""",
+    ),
     "recursive_reach": (
         recursive_reach,
         """WITH RECURSIVE bought AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p, date_trunc('week', l_shipdate) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
