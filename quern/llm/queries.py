@@ -85,7 +85,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix_sources(docs, max_repeats=2.0)
-    return mixed.select(F.col("id").alias("doc_id"), "source", "tokens", "copies", "weight", "pass", "position")
+    return mixed.select(F.col("id").alias("doc_id"), "source", "tokens", F.col("copies").cast("int").alias("copies"), "weight", "pass", "position")
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import connected_components, durable, fresh
@@ -319,8 +319,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wholly equal one stays. Null texts count as empty; texts without a word form one group. Texts are compared
     whole. An empty table gives an empty result; extra columns of any name pass through.
     """
-    own_row, nth, kept_id, kept_row = fresh(docs.columns, "own_row", "nth", "kept_id", "kept_row")
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    own_row, kept_id, kept_row = fresh(docs.columns, "own_row", "kept_id", "kept_row")
+    values = [F.col(f"`{c}`") for c in docs.columns]
+    row_hash = F.xxhash64(F.array(*[v.isNull() for v in values]), *values)  # in which column a null stands counts
     slim = docs.select(F.col(f"`{id_col}`").alias("__id"), row_hash.alias("__row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
     slim = slim.withColumn("key", F.unhex(F.md5(F.col("__text").cast("binary"))))
 
@@ -360,5 +361,5 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = durable(kept, "kept")
     tagged = docs.withColumn(own_row, row_hash)
     found = tagged.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(kept_id)) & (F.col(own_row) == F.col(kept_row)), "left_semi")
-    number = F.row_number().over(Window.partitionBy(own_row).orderBy(F.lit(1)))  # wholly equal rows
-    return found.withColumn(nth, number).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = found.dropDuplicates([own_row, id_col])  # wholly equal rows, of which each task keeps one before the shuffle
+    return once.select(*values)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -224,6 +225,69 @@ def test_mixture_of_repeated_rows(spark):
     assert few == collections.Counter(r.id for r in mixing.mix_sources(df, max_repeats=1.4, budget=12).collect())
 
 
+def chained(*values, seed=42):
+    """Spark's xxhash64 of values of any column types, from the library: each value's hash is the next one's seed, nulls leave it."""
+    for v in values:
+        if isinstance(v, list):
+            seed = chained(*v, seed=seed)
+        elif v is not None:
+            data = v.encode() if isinstance(v, str) else int(v).to_bytes(4 if isinstance(v, bool) else 8, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(data, seed % 2**64)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def brute_mixture(rows, repeats, block_tokens, seed="mix"):
+    """The mixture by lists: the exponent in closed form, and each source's passes one after the other."""
+    made, copies = [], collections.Counter()
+    for r in rows:
+        nulls = [v is None for v in r]
+        made.append((chained("row", nulls, *r), chained("check", nulls, *r), r[0], r[2], max(1, len((r[1] or "").split())), copies[r]))
+        copies[r] += 1
+    sums = collections.Counter()
+    for m in made:
+        sums[m[3]] += m[4]
+    whole, ratio = sum(sums.values()), max(sums.values()) / min(sums.values())
+    x = 0.0 if ratio <= repeats else 1 - math.log(repeats) / math.log(ratio)
+    powers = {s: (t / whole) ** x for s, t in sums.items()}
+    weights = {s: w / sum(powers.values()) for s, w in powers.items()}
+    total = max(sums[s] / weights[s] for s in sums)
+    out = []
+    for s, t in sums.items():
+        budget, blocks, at = max(t, round(weights[s] * total)), max(1, -(-t // block_tokens)), 0
+        for turn in range(budget // t + 1):
+            key = lambda m: (b := chained(seed, m[0], m[1], m[5]) % blocks, chained(seed, "block", s, turn, b))[::-1] + (chained(seed, "doc", turn, m[0], m[1], m[5]), m[0], m[1], m[2], m[5])  # noqa: B023, E731
+            for m in sorted((m for m in made if m[3] == s), key=key):
+                if at < budget:
+                    out.append((m[2], s, m[4], m[5], round(weights[s], 9), turn, round(at / budget, 9)))
+                at += m[4]
+            at = t * (turn + 1)
+    return collections.Counter(out)
+
+
+def test_mixture_equals_brute_force(spark):
+    """Copies beyond a task's part, a null source, rows that differ only in which column is null, and many blocks."""
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randrange(1, 30), rng.choice(["big"] * 6 + ["mid"] * 3 + ["small", None]), "x", None) for i in range(500)]
+    rows += [(1000, "the same row", "mid", None, None)] * 250 + [(1001, "a", "small", "y", None)] * 2 + [(1001, "a", "small", None, "y")] * 3 + [(1002, None, "rare", None, None), (1003, "", "rare", "z", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, u string, v string").repartition(5)
+    for repeats, block_tokens in ((2.0, 40), (3.5, 7), (1000.0, 10**6)):
+        got = mixing.mix_sources(df, max_repeats=repeats, block_tokens=block_tokens, part=16).collect()
+        want = brute_mixture(rows, repeats, block_tokens)
+        assert collections.Counter((r.id, r.source, r.tokens, r.copies, round(r.weight, 9), r["pass"], round(r.position, 9)) for r in got) == want
+    taken = collections.Counter(tuple(r)[:1] + tuple(r)[3:] for r in mixing.mixed_documents(df, max_repeats=2.0, block_tokens=40, part=16).collect())
+    times = collections.Counter()
+    for k, n in brute_mixture(rows, 2.0, 40).items():
+        times[k[0]] += n
+    assert {k: sum(n for r, n in taken.items() if r[0] == k) for k in times} == times
+    assert taken[(1001, "y", None)] >= 2 and taken[(1001, None, "y")] >= 3
+
+
+def test_rows_are_repeated_in_parts(spark):
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([0, -3, 1, 15, 16, 17, 1000])], "k long, n long")
+    got = sorted((r.k, r.at) for r in mixing.repeated(df, "n", "at", part=16).collect())
+    assert got == [(k, j) for k, n in enumerate([0, 0, 1, 15, 16, 17, 1000]) for j in range(n)]
+
+
 def test_masks_take_linear_time():
     text = "token=abcdef12 " * 100_000
     spans = secrets.Scanner(secrets.RULES).scan([text])[0]
