@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import durable, spread
@@ -100,7 +100,7 @@ class BlockMaxIndex:
 
 @dataclass
 class ToxicityModel:
-    """What scoring needs; its size is bounded by the ``max_examples`` texts whose words it holds."""
+    """What scoring needs; its size is bounded by the words it holds: those of ``max_examples`` texts, ``max_bytes`` in all."""
 
     number: dict[bytes, int]
     weight: np.ndarray
@@ -177,6 +177,15 @@ def _word_counts(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"words": [list(c) for c in found], "counts": [list(c.values()) for c in found]})
 
 
+def _within(counted: DataFrame, max_examples: int, max_bytes: int) -> DataFrame:
+    """(__id, __of) of the examples that fit, in the order of their ids' hashes; only ``max_examples`` ids and sizes are ordered."""
+    held = F.expr("aggregate(words, 0L, (held, word) -> held + length(word) + 16)")
+    sizes = counted.select("__id", "__of", held.alias("bytes")).where(F.col("bytes") <= max_bytes // 64).distinct()
+    first = sizes.orderBy(F.xxhash64("__id"), "__id", "__of").limit(max_examples)
+    so_far = F.sum("bytes").over(Window.orderBy(F.xxhash64("__id"), "__id", "__of"))
+    return first.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).select("__id", "__of")
+
+
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -186,13 +195,16 @@ def fit_toxicity(
     max_examples: int = 2048,
     k: int = 15,
     bins: int = 40,
+    max_bytes: int = 128 << 20,
 ) -> ToxicityModel:
     """Learns from the labelled documents that aren't held out.
 
     ``max_examples`` labelled rows, chosen by a hash of the id, are the examples: they make the index, its words
-    the terms, and the calibration. Document frequencies cover all of ``docs``, and the terms' association with
+    the terms, and the calibration. Their distinct words, each with 16 bytes more, come to ``max_bytes`` in all at
+    most, and those of one example to a 64th of that: a labelled text beyond it is no example, and the choice ends where the bytes do.
+    So the driver, and each task's copy of the model, hold a bounded size whatever the texts' lengths. Document frequencies cover all of ``docs``, and the terms' association with
     the labels all training rows. Null labels and ids are left out; of several labels of an id the largest
-    counts, and of several documents of an id each is an example. Null texts count as empty. Without labels
+    counts, and of several documents of an id each different text is an example. Null texts count as empty. Without labels
     every score is 0; with labels of one kind it comes from that kind's votes.
     """
     marked = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("__y")).where("__id is not null and __y is not null")
@@ -203,14 +215,16 @@ def fit_toxicity(
     chosen = texts.select("__id").join(marked, "__id").orderBy(F.xxhash64("__id"), "__id").limit(max_examples)
     chosen = durable(chosen.distinct(), "chosen")
     count_words = F.pandas_udf(_word_counts, "struct<words:array<binary>,counts:array<int>>")
-    sample = durable(texts.join(F.broadcast(chosen), "__id").select("__id", "__y", count_words("__text").alias("found")).select("__id", "__y", "found.*"), "examples")
+    counted = texts.join(F.broadcast(chosen), "__id").select("__id", "__y", count_words("__text").alias("found")).select("__id", "__y", "found.*")
+    counted = durable(counted.withColumn("__of", F.xxhash64("words", "counts")), "labelled-words")
+    sample = durable(counted.join(F.broadcast(_within(counted, max_examples, max_bytes)), ["__id", "__of"]).dropDuplicates(["__id", "__of"]), "examples")
 
-    rows = sample.orderBy("__id", F.xxhash64("words", "counts")).toArrow()  # max_examples texts' words
+    rows = sample.orderBy("__id", "__of").toArrow()  # max_examples texts' words, max_bytes in all
     words = rows["words"].combine_chunks()
     number = {w: i for i, w in enumerate(sorted(words.flatten().unique().to_pylist()))}
     model = ToxicityModel(number, np.ones(len(number)), BlockMaxIndex([], [], [], len(number)), 0.0, k)
 
-    numbers = docs.sparkSession.sparkContext.broadcast(number)  # the words of max_examples texts
+    numbers = docs.sparkSession.sparkContext.broadcast(number)  # the examples' words, max_bytes in all
 
     @F.pandas_udf("array<int>")
     def term_numbers(rows: pd.Series) -> pd.Series:
@@ -265,7 +279,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text",
     among such examples (all examples, if there are none) as their score, and no evidence. Rows stay as they
     are, repeated ones too; whole texts of any length count. A column named ``out`` is replaced. An empty table gives an empty one.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_bytes
 
     @F.pandas_udf("struct<score:double,evidence:array<struct<cosine:double,id:long,label:int>>>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -244,6 +244,22 @@ def test_registered_toxicity_equals_brute_force(spark, sf):
     assert len({r.score for r in got}) > 5 and np.mean([a == b for a, b in held]) > 0.95
 
 
+def test_toxicity_examples_are_bounded_in_rows_and_bytes(spark):
+    rows = [(1 + i, f"word{'abcdefghij'[i % 10]} other{'klmnopqrst'[i // 10]}") for i in range(100)]
+    docs = spark.createDataFrame([*rows, (500, " ".join("ab" + "x" * j for j in range(300))), (501, "z" * 3_000), *[(700, "many rows of one id")] * 200], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    size = lambda t: sum(len(w) + 16 for w in set(toxicity.words_of(t)))
+    texts = dict(docs.collect())
+    for max_examples, max_bytes in ((2048, 64 * 1000), (2048, 64 * 47), (10, 64 * 1000), (2048, 128 << 20)):
+        model = toxicity.fit_toxicity(docs, labels, max_examples=max_examples, max_bytes=max_bytes)
+        ids = model.index.ids.tolist()
+        assert len(ids) == len(set(ids)) <= max_examples
+        assert sum(size(texts[i]) for i in ids) <= max_bytes and all(size(texts[i]) <= max_bytes // 64 for i in ids)
+        assert (500 in ids or 501 in ids) == (max_bytes > 10**6)
+        assert toxicity.score_toxicity(docs, model).where("toxicity.score between 0 and 1").count() == docs.count()
+    assert len(ids) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in texts)
+
+
 def test_toxicity_odd_tables(spark, odd):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (3, 1)], "doc_id long, toxic int")
     for docs, y in ((odd, labels), (odd, labels.where("false")), (odd.where("false"), labels)):
