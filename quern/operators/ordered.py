@@ -101,6 +101,21 @@ def neighbours(df: DataFrame, by: list[str], order: list[str], value: str, offse
     return met.select(*[F.col(f"`{c}`") for c in df.columns if c not in offsets], *[c.alias(name) for name, c in found.items()])
 
 
+def versions(df: DataFrame, key: list[str], time: str, watched: list[str], partitions: int | None = None) -> DataFrame:
+    """Type-2 history of hot keys: a row for each run of equal ``watched`` values, with valid_from and valid_to (null: open).
+
+    Rows are compared with the one before in their key and only those that begin a run are ordered again, so no task holds a
+    key. Rows of one time are ordered by what is watched. Null keys, times and values are values like others.
+    """
+    state, before = fresh([*key, time, *watched], "state", "before")
+    rows = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*key, time, *watched])]).withColumn(state, F.struct(*[F.col(f"`{c}`") for c in watched]))
+    found = neighbours(rows, key, [time, *watched], state, {before: -1}, partitions=partitions)
+    starts = found.where(~F.col(before).eqNullSafe(F.col(state))).drop(state, before)
+    (until,) = fresh(starts.columns, "valid_to")
+    ended = neighbours(starts, key, [time, *watched], time, {until: 1}, partitions=partitions)
+    return ended.select(*[F.col(f"`{c}`") for c in [*key, *watched]], F.col(f"`{time}`").alias("valid_from"), F.col(until).alias("valid_to"))
+
+
 def nth_values(df: DataFrame, by: list[str], order: list[str], value: str, places: dict[str, int], partitions: int | None = None) -> DataFrame:
     """``df`` with ``value`` of the n-th row of its key (from 1; negative: from the end) for each named place, null if the key is shorter."""
     o = Ordered(df, by, order, partitions)

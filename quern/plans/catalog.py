@@ -96,7 +96,7 @@ _add("arr_hof", "SELECT vec_id, round(aggregate(transform(embedding, x -> CAST(x
 _add("arr_slice", "SELECT vec_id, CAST(size(slice(embedding, 1, 4)) AS BIGINT) AS n, slice(embedding, 1, 4)[0] AS x FROM {embeddings}", "SELECT vec_id, len(embedding[1:4]) AS n, embedding[1] AS x FROM {embeddings}")
 
 # Text, pages, conversations
-_add("dedup_exact", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM {documents} GROUP BY text")
+_add("dedup_exact", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM {documents} GROUP BY unhex(md5(text))", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM {documents} GROUP BY text")
 _add("word_count", "SELECT doc_id, CAST(size(filter(split(text, '[ \\\\t\\\\n\\\\r]+'), w -> w <> '')) AS BIGINT) AS words FROM {documents}", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '')) AS words FROM {documents}")
 _add("corpus_profile", "SELECT lang, source, count(*) AS docs, sum(n_chars) AS chars FROM {documents} GROUP BY lang, source", "SELECT lang, source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM {documents} GROUP BY lang, source")
 _add("html_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM {pages}")

@@ -33,9 +33,10 @@ def join_interval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def join_salted(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_partkey", F.col("l_returnflag").alias("flag"))
-    flags = table(spark, d, "orders").select(F.substring("o_orderpriority", 1, 1).alias("flag"), "o_totalprice").groupBy("flag").agg(F.count(F.lit(1)).alias("orders"))
-    return joins.salted_join(lines, flags, ["flag"], how="left").groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.max("orders").alias("orders"))
+    """Quantities by the supplier's nation; lines of a hot supplier would be dealt over tasks."""
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_quantity")
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
+    return joins.salted_join(lines, suppliers, ["l_suppkey"], how="left").groupBy("nation").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
 def top_per_group(spark: SparkSession, d: str) -> DataFrame:
@@ -191,8 +192,7 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "join_interval": (join_interval, _PAIRS),
     "join_salted": (
         join_salted,
-        """SELECT flag, count(*) AS n, sum(l_quantity) AS quantity, max(orders) AS orders FROM (SELECT l_returnflag AS flag, l_quantity FROM lineitem)
-        LEFT JOIN (SELECT substring(o_orderpriority, 1, 1) AS flag, count(*) AS orders FROM orders GROUP BY 1) USING (flag) GROUP BY flag""",
+        "SELECT s_nationkey AS nation, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1",
     ),
     "top_per_group": (
         top_per_group,

@@ -44,6 +44,11 @@ def hot_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return found.select("lang", *[F.round(p, 4).alias(p) for p in ("p0", "p1", "p2")])
 
 
+def hot_history(spark: SparkSession, d: str) -> DataFrame:
+    """For each language the runs of documents from one source, in the order of ids."""
+    return ordered.versions(_docs(spark, d), ["lang"], "doc_id", ["source"])
+
+
 def hot_salted_join(spark: SparkSession, d: str) -> DataFrame:
     """Documents joined with what the labels say of their source; the source that holds most documents is dealt over tasks."""
     docs = _docs(spark, d)
@@ -89,6 +94,12 @@ HOT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         hot_percentiles,
         "SELECT lang, round(quantile_cont(n_chars, 0.05), 4) AS p0, round(quantile_cont(n_chars, 0.5), 4) AS p1, round(quantile_cont(n_chars, 0.99), 4) AS p2 FROM documents GROUP BY lang",
     ),
+    "hot_history": (
+        hot_history,
+        """SELECT lang, source, doc_id AS valid_from, lead(doc_id) OVER w AS valid_to FROM
+        (SELECT *, lag(source) OVER w AS before FROM documents WINDOW w AS (PARTITION BY lang ORDER BY doc_id, source)) WHERE before IS DISTINCT FROM source
+        WINDOW w AS (PARTITION BY lang ORDER BY doc_id, source)""",
+    ),
     "hot_salted_join": (
         hot_salted_join,
         """SELECT doc_id, source, n_chars, labelled, toxic FROM documents LEFT JOIN (SELECT source, count(*) AS labelled, CAST(sum(toxic) AS BIGINT) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY source) USING (source)""",

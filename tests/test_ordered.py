@@ -97,3 +97,21 @@ def test_empty_tables(hot):
     assert ordered.ranks(none, ["k"], ["o"]).count() == 0 and ordered.percentiles(none, ["k"], "v", [0.5]).count() == 0
     assert ordered.neighbours(none, ["k"], ["o"], "v", {"a": 1}).count() == 0 and ordered.nth_values(none, ["k"], ["o"], "v", {"a": 1}).count() == 0
     assert ordered.running(none, ["k"], ["o"], {"s": "v"}).count() == 0
+
+
+def test_versions_of_a_hot_key(spark):
+    rows = [(1 if i % 10 else 2, i, None if i // 7 % 5 == 0 else f"v{i // 7 % 3}", i % 2 == 5) for i in range(400)] + [(1, 7, "tie", None), (None, 3, "a", None), (None, None, "a", None), (None, 4, None, None)]
+    df = spark.createDataFrame(rows, "k int, t int, v string, state boolean")
+    want = []
+    first = lambda x: (x is not None, x if x is not None else 0)
+    for k in (1, 2, None):
+        runs = []
+        for _, t, v, s in sorted((r for r in rows if r[0] == k), key=lambda r: (first(r[1]), (r[2] is not None, r[2] or ""), first(r[3]))):
+            if not runs or runs[-1][1:3] != (v, s):
+                runs.append((k, v, s, t))
+        want += [(*r, n[3] if n else None) for r, n in zip(runs, [*runs[1:], None])]
+    for partitions in (1, 3, 9):
+        got = ordered.versions(df, ["k"], "t", ["v", "state"], partitions=partitions)
+        assert got.columns == ["k", "v", "state", "valid_from", "valid_to"]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert ordered.versions(df.where("false"), ["k"], "t", ["v"]).count() == 0
