@@ -134,6 +134,34 @@ def test_an_index_of_two_hashes_selects(spark):
     assert hits / (10 * len(asked)) >= 0.9  # 0.917 over the 51,282 vectors of the check table
 
 
+def test_codes_follow_the_rows_in_small_steps():
+    for axes in (2, 4, 32, 128):
+        before = 0
+        for rows in np.geomspace(1, 1e8, 400):
+            whole, last = ann.code_shape(rows, axes)
+            codes = axes**whole * (2 * last if last else 1)
+            assert codes >= before and codes <= max(2, rows * 1.000001) < 2.1 * codes + 2 and 2 * last <= axes
+            before = codes
+
+
+@pytest.mark.parametrize("shape", [(0, 3), (1, 0), (1, 5), (2, 0), (2, 3)])
+@pytest.mark.parametrize("probes", [1, 7, 60, 5000])
+def test_probes_are_the_buckets_of_least_loss(shape, probes):
+    whole, last = shape
+    x = vectors.unit(np.random.default_rng(8).standard_normal((3, 8)))
+    diagonals = vectors.signs(8, 4 * (whole + (last > 0)), 5).reshape(4, whole + (last > 0), 3, -1)
+    values = [ann.hash_axes(x, d, last) for d in diagonals]
+    for n in range(len(x)):
+        every = []
+        for t, table in enumerate(values):
+            sums = {0: 0.0}
+            for v in table:
+                sums = {c * v.shape[1] + a: s + (v[n].max() - v[n][a]) ** 2 for c, s in sums.items() for a in range(v.shape[1])}
+            every += [(s, t, c) for c, s in sums.items()]
+        got = list(zip(*(z.tolist() for z in ann.pooled_probes([[v[n] for v in t] for t in values], probes))))
+        assert got == [(t, c) for _, t, c in sorted(every)[:probes]]
+
+
 def test_repeated_rows_of_vectors(spark):
     df = spark.createDataFrame([(i % 4, [float(i % 4 + 1), 1.0], 0, "", 0) for i in range(12)] + [(1, [9.0, 9.0], 0, "", 0)], SCHEMA)
     got = ann.nearest_neighbours(df, df)
