@@ -146,7 +146,7 @@ def nearest_neighbours(
     and it bounds copies). Columns besides id and vector are ignored. An empty table gives an empty result.
 
     One rule for every size: there are as many codes as rows / ``bucket_rows``, which a last hash of some of the
-    coordinates makes up (``code_shape``; ``hashes`` asks for as many whole ones instead), and ``probes`` over all tables together are ten times the root of the rows.
+    coordinates makes up (``code_shape``; ``hashes`` asks for as many whole ones instead), and ``probes`` over all tables together are 15 times the root of the rows.
     Vectors stand once in each table; of a query only its bucket numbers are sent, and its vector once to a slot.
     Buckets of more than ``block`` rows or probes are cut into parts, and each part of the rows meets each part of the
     probes by itself. A task gets about ``slot_rows`` rows (of 64 numbers; fewer longer ones) and ``slot_probes`` probes.
@@ -162,7 +162,7 @@ def nearest_neighbours(
     count, dim = base.agg(F.count(F.lit(1)), F.max("dim")).first()
     if not count:
         return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
-    probes = probes or math.ceil(10 * count**0.5)
+    probes = probes or math.ceil(15 * count**0.5)
     asked = asked.repartition(asked.sparkSession.sparkContext.defaultParallelism)  # probes are costly
 
     def place(query: bool):
