@@ -103,3 +103,15 @@ def test_sketches_merge_within_their_bound(spark):
 )
 def test_pages(page, want):
     assert html.outline_of(page) == want
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<title>A&amp</title><h1>x&amp y&copy</h1>z&ampx; &#38 &#38; &&amp;&", ("A&amp", ["x&amp y&copy"], [], "x&amp y&copy z&ampx; &#38 & &&&")),
+        ("<a href='/x?a=1&copy=2&amp;b=3&amp'>L</a>", (None, [], ["/x?a=1&copy=2&b=3&amp"], "L")),
+        ("<title>&copy;&COPY;&notit;&#xe9;&amp;copy;</title>", ("©©&notit;é&copy;", [], [], "")),
+    ],
+)
+def test_entities_end_in_a_semicolon(page, want):
+    assert html.outline_of(page) == want
