@@ -69,8 +69,13 @@ def vec_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_approx_distinct(spark: SparkSession, d: str) -> DataFrame:
-    """The exact distinct count, and whether the estimate of relative deviation 0.02 lies within four deviations of it."""
-    counted = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.02).alias("about"))
+    """The exact distinct count, and whether the estimate of relative deviation 0.02 lies within four deviations of it.
+
+    A sketch of distinct values is that of all values. Both counts therefore read (flag, part) once each, and sketches stand
+    for flags only; Spark's plan for both at once over the lines would carry a sketch for each flag and part.
+    """
+    each = table(spark, d, "lineitem").select("l_returnflag", "l_partkey").distinct()
+    counted = each.groupBy("l_returnflag").agg(F.count("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.02).alias("about"))
     return counted.select("l_returnflag", "parts", (F.abs(F.col("about") - F.col("parts")) <= 0.08 * F.col("parts")).alias("close"))
 
 

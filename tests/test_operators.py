@@ -154,3 +154,13 @@ def test_paired_counts_take_a_row_a_key(spark, monkeypatch):
     monkeypatch.setattr(custom, "paired_groups", lambda left, right, *a: sides.extend([left, right]) or paired(left, right, *a))
     assert frames.cogroup_map(spark, "/root/testdata/sf0.001").count() == 25
     assert all(s.count() == s.select("nation").distinct().count() for s in sides)
+
+
+def test_no_sketch_stands_for_each_distinct_value(spark, tmp_path):
+    rows = [("A", 1), ("A", 1), ("A", 2), ("A", None), ("N", None), (None, 3), (None, 3)]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = frames.agg_approx_distinct(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect()), key=str) == [("A", 2, True), ("N", 0, True), (None, 1, True)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    sketched = [line.split("functions=")[0] for line in plan.splitlines() if "functions=" in line and "approx_count_distinct" in line.split("functions=")[1]]
+    assert sketched and not any("l_partkey" in keys for keys in sketched), plan
