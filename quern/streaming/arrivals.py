@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -89,61 +90,79 @@ def in_batches(rows: DataFrame, time: str, delay: str, width_s: int) -> DataFram
 
 
 class ClosedSessions(StatefulProcessor):
-    """Sessions of a key, sent on once the watermark has passed their last row by the gap.
+    """Sessions of a slice's keys, sent on once the watermark has passed their last row by the gap.
 
-    List state has the times and kinds of rows of open sessions; an event-time timer stands at the next session's close. State
-    is deleted with the last open session, so keys that end leave nothing.
+    The state of a slice is one value: its open sessions, a row for each session and kind. An event-time timer stands at the
+    next close. State is deleted with the last open session, so keys that end leave nothing. All keys of a slice are
+    worked on at once, so that calls and timers are as many as slices, however many keys there are.
     """
 
+    COLUMNS = ["unknown", "key", "kind", "start", "end", "n"]
+
     def __init__(self, gap_ms: int) -> None:
         self.gap = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "ms long, kind string")
-
-    def _closed(self, key: tuple, mark: int) -> Iterator[pd.DataFrame]:
-        rows = sorted(tuple(r) for r in self.open.get()) if self.open.exists() else []
-        sessions: list[list[tuple]] = []
-        for r in rows:
-            if sessions and r[0] - sessions[-1][-1][0] < self.gap:
-                sessions[-1].append(r)
-            else:
-                sessions.append([r])
-        still: list[tuple] = []
-        out = []
-        for s in sessions:
-            if s[-1][0] + self.gap <= mark:
-                out.append((key[0], s[0][0], s[-1][0], len(s), len({k for _, k in s})))
-            else:
-                still += s
+        self.open = handle.getValueState("open", "sessions binary")
+
+    def _held(self) -> list[pd.DataFrame]:
+        return [pd.read_parquet(io.BytesIO(self.open.get()[0]))] if self.open.exists() else []
+
+    def _joined(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        """Rows and sessions whose distance is below the gap as sessions, a row for each kind."""
+        rows = pd.concat(parts, ignore_index=True).sort_values(["unknown", "key", "start"], kind="stable", ignore_index=True)
+        by = rows.groupby(["unknown", "key"], sort=False)
+        before = by["end"].cummax().groupby([rows["unknown"], rows["key"]], sort=False).shift(1, fill_value=-(1 << 62))
+        number = (rows["start"] - before >= self.gap).cumsum()
+        rows["start"] = rows["start"].groupby(number).transform("min")
+        rows["end"] = rows["end"].groupby(number).transform("max")
+        return rows.groupby(["unknown", "key", "start", "end", "kind"], sort=False, dropna=False, as_index=False)["n"].sum()[self.COLUMNS]
+
+    def _closed(self, rows: pd.DataFrame, mark: int) -> Iterator[pd.DataFrame]:
+        over = rows["end"] + self.gap <= mark
+        still = rows[~over]
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if still:
-            self.open.put(still)
-            ends = [s[-1][0] + self.gap for s in sessions if s[-1][0] + self.gap > mark]
-            self.handle.registerTimer(min(ends))
+        if len(still):
+            packed = io.BytesIO()
+            still.to_parquet(packed, index=False)
+            self.open.update((packed.getvalue(),))
+            self.handle.registerTimer(int(still["end"].min()) + self.gap)
         else:
             self.open.clear()
-        if out:
-            yield pd.DataFrame(out, columns=["key", "start_ms", "end_ms", "n", "kinds"])
+        if over.any():
+            out = rows[over].groupby(["unknown", "key", "start", "end"], sort=False, as_index=False).agg(n=("n", "sum"), kinds=("kind", "nunique"))
+            key = out["key"].astype("Int64").mask(out["unknown"])
+            yield pd.DataFrame({"key": key, "start_ms": out["start"], "end_ms": out["end"], "n": out["n"], "kinds": out["kinds"]})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        parts, new = self._held(), 0
         for pdf in rows:
-            self.open.appendList([(int(ms), kind) for ms, kind in zip(pdf["ms"], pdf["kind"])])
-        yield from self._closed(key, timerValues.getCurrentWatermarkInMs())
+            parts.append(pd.DataFrame({"unknown": pdf["unknown"], "key": pdf["key"], "kind": pdf["kind"], "start": pdf["ms"], "end": pdf["ms"], "n": 1}))
+            new += len(pdf)
+            if new > max(1 << 16, len(parts[0])):  # sessions instead of rows, when these are more
+                parts, new = [self._joined(parts)], 0
+        yield from self._closed(self._joined(parts), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        yield from self._closed(key, timerValues.getCurrentWatermarkInMs())
+        for rows in self._held():
+            yield from self._closed(rows, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def closed_sessions(stream: DataFrame, key: str, time: str, kind: str, gap_s: int, late: str) -> DataFrame:
-    """(key, start_ms, end_ms, n, kinds) of each session once it is over by the watermark; rows later than ``late`` may be missing from theirs."""
-    rows = stream.withWatermark(time, late).select(F.col(key).cast("long").alias("key"), F.unix_millis(time).alias("ms"), F.col(kind).alias("kind"), F.col(time))
-    return rows.groupBy("key").transformWithStateInPandas(ClosedSessions(gap_s * 1000), "key long, start_ms long, end_ms long, n long, kinds long", "Append", "EventTime")
+def closed_sessions(stream: DataFrame, key: str, time: str, kind: str, gap_s: int, late: str, slices: int = 256) -> DataFrame:
+    """(key, start_ms, end_ms, n, kinds) of each session once it is over by the watermark; rows later than ``late`` may be missing from theirs.
+
+    Keys are dealt to ``slices`` by a hash; a task holds the open sessions of one slice at a time. Null keys are one
+    key, null kinds are no kind. A checkpoint goes on with the number of slices that it began with.
+    """
+    known = F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key")
+    part = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(slices)).alias("slice")
+    rows = stream.withWatermark(time, late).select(part, F.col(key).isNull().alias("unknown"), known, F.unix_millis(time).alias("ms"), F.col(kind).alias("kind"), F.col(time))
+    return rows.groupBy("slice").transformWithStateInPandas(ClosedSessions(gap_s * 1000), "key long, start_ms long, end_ms long, n long, kinds long", "Append", "EventTime")
 
 
 def rocksdb(spark: SparkSession) -> tuple[str, str | None]:

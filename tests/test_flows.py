@@ -1,6 +1,7 @@
 """Sources, layouts, pages, sketches and streams of many batches: that the mechanism is used, and odd input."""
 
 import datetime as dt
+import json
 
 import duckdb
 import pytest
@@ -129,3 +130,31 @@ def test_days_count_many_users_exactly(spark, tmp_path):
     want = sorted(con.execute(flows.FLOWS["sketch_days"][1]).fetchall())
     assert sorted(map(tuple, flows.sketch_days(spark, str(tmp_path)).collect())) == want
     assert len(want) == 11 and max(n for _, n in want) > 40_000
+
+
+def test_state_and_timers_grow_with_slices_instead_of_keys(spark):
+    """2,000 keys in three batches, sessions that go on over a batch's end, null keys and kinds."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, "xyz"[m % 3], t0 + dt.timedelta(minutes=m), m // 200) for k in range(2000) for m in (k % 7, 20, 199 - k % 9, 201, 420)]
+    rows += [(None, "x", t0, 0), (None, None, t0 + dt.timedelta(minutes=5), 0), (0, "x", t0 + dt.timedelta(days=9), 3)]
+    name, before = arrivals.rocksdb(spark)
+    try:
+        source = arrivals.Arrivals(spark.createDataFrame(rows, "u int, kind string, ts timestamp, batch int"))
+        found = source.run(lambda s: arrivals.closed_sessions(s, "u", "ts", "kind", 1800, "0 seconds"))
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    by, want = {}, []
+    for k, kind, ts, _ in rows[:-1]:  # the last row's session is still open
+        by.setdefault(k, []).append((ts, kind or ""))
+    for k, times in by.items():
+        last = dt.datetime.min
+        for ts, kind in sorted(times):
+            if ts - last >= dt.timedelta(minutes=30):
+                want.append([k, 0, set()])
+            want[-1][1] += 1
+            want[-1][2] |= {kind} - {""}
+            last = ts
+    assert sorted(((r.key, r.n, r.kinds) for r in found.collect()), key=str) == sorted(((k, n, len(kinds)) for k, n, kinds in want), key=str)
+    progress = [json.loads(p) if isinstance(p, str) else p for p in source.progress]
+    held = [op["numRowsTotal"] for p in progress for op in p["stateOperators"]]
+    assert 0 < max(held) <= 4 * 256
