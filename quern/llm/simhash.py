@@ -29,6 +29,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -304,6 +306,22 @@ def _prefix_links(shared: DataFrame, nodes: DataFrame, sets: DataFrame, similari
     return verified(durable(pairs, "prefix-pairs"), sets, similarity).unionByName(rows.groupBy("s", "low", "high").applyInPandas(link, f"u {kind}, v {kind}"))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text_bytes: int = 1 << 20, most: int = 256) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows in pieces of some ``text_bytes`` (a longer text is one alone) and ``most`` rows at most: the other columns, and the texts, which stand last.
+
+    A task holds one piece's texts and results beside the batch, whatever rows Spark sends at once.
+    """
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(b.num_columns - 1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            full = np.searchsorted(ends, (ends[at - 1] if at else 0) + text_bytes, "right")
+            stop = min(max(int(full), at + 1), at + most)
+            part = b.slice(at, stop - at)
+            yield part.select(list(range(b.num_columns - 1))), part.column(b.num_columns - 1).to_pylist()
+            at = stop
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bucket_limit: int = 256) -> DataFrame:
     """One document of each near-duplicate group: the row with the smallest id; the columns stay as they are.
 
@@ -325,31 +343,35 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slim = docs.select(F.col(f"`{id_col}`").alias("__id"), row_hash.alias("__row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
     slim = slim.withColumn("key", F.unhex(F.md5(F.col("__text").cast("binary"))))
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf.drop(columns="__text")
-            hashes = [shingle_hashes(t, words) for t in pdf["__text"]]
-            out["fp"] = np.array([majority(h) for h in hashes], dtype=np.int64)
-            out["samples"] = [sampled_fingerprints(np.unique(h)) for h in hashes]
-            yield out
+    form = slim.drop("__text").withColumn("fp", F.lit(0).cast("long")).withColumn("samples", F.array().cast("array<long>")).schema
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rest, texts in pieces(batches):
+            fps, samples = [], []
+            for t in texts:
+                h = shingle_hashes(t, words)
+                fps.append(majority(h))
+                samples.append(sampled_fingerprints(np.unique(h)))
+            yield pa.record_batch([*rest.columns, pa.array(fps, pa.int64()), pa.array(samples, pa.list_(pa.int64()))], form.names)
 
-    form = slim.drop("__text").withColumn("fp", F.lit(0).cast("long")).withColumn("samples", F.array().cast("array<long>"))
-    rows = durable(slim.mapInPandas(sketch, form.schema), "sketches")
+    rows = durable(slim.select(*form.names[:-2], "__text").mapInArrow(sketch, form), "sketches")
     texts = durable(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("samples").alias("samples")), "texts")
     shared = _buckets(texts, bucket_limit)
     pairs = durable(_candidate_pairs(shared), "pairs")
 
     wanted = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
 
-    @F.pandas_udf("array<long>")
-    def shingle_set(rows: pd.Series) -> pd.Series:
-        hashes = [np.unique(shingle_hashes(t, words)).astype(np.int64) for t in rows]
-        return pd.Series([h if len(h) else np.zeros(1, np.int64) for h in hashes], dtype=object)  # texts without a word are alike
+    def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rest, texts in pieces(batches):
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts]
+            sets = [h if len(h) else np.zeros(1, np.int64) for h in sets]  # texts without a word are alike
+            yield pa.record_batch([*rest.columns, pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
 
     owner = rows.groupBy("key").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("o"))
     one = owner.join(wanted, "key").select(F.col("o.__id").alias("__id"), F.col("o.__row").alias("__row"), "key")
     source = slim.drop("key").alias("s").join(one.alias("o"), F.col("s.__id").eqNullSafe(F.col("o.__id")) & (F.col("s.__row") == F.col("o.__row")))
-    sets = durable(source.select("o.key", shingle_set("s.__text").alias("set")).dropDuplicates(["key"]), "sets")
+    sets = source.select("o.key", "s.__text").mapInArrow(shingle_sets, "key binary, set array<long>")
+    sets = durable(sets.dropDuplicates(["key"]), "sets")
     edges = durable(verified(pairs, sets, similarity), "near")
     nodes = durable(connected_components(edges).withColumnRenamed("node", "key"), "first-nodes")
     more = durable(_prefix_links(shared, nodes, sets, similarity), "prefix-links")

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -362,3 +363,12 @@ def test_stages_return_columns_of_any_name_as_they_are(spark):
         assert done.dtypes == docs.dtypes
         rows = done.collect()
         assert rows and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names)
+
+
+def test_simhash_dedup_holds_few_texts_at_once():
+    """Pieces of bounded rows and bytes, in order, from slices of batches too; a long text is one alone."""
+    texts = ["é" * n for n in (3, 0, 40, 2, 2, 500, 1, 1, 1, 1, 1)]
+    batch = pa.record_batch([pa.array(range(11)), pa.array(texts)], ["i", "t"])
+    got = [(rest.column(0).to_pylist(), found) for rest, found in simhash.pieces(iter([batch, batch.slice(2, 3), batch.slice(0, 0)]), text_bytes=100, most=4)]
+    assert [i for i, _ in got] == [[0, 1, 2, 3], [4], [5], [6, 7, 8, 9], [10], [2, 3, 4]]
+    assert all(found == [texts[i] for i in rows] for rows, found in got)
