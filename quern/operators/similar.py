@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.graph import components
 from quern.operators.scratch import fresh, stored
+from quern.session import small_batches
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,17 +50,29 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
         return np.unique(sums * _MIX)
 
 
+@cache
+def _odd(n: int) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(i.to_bytes(4, "little"), 7) & 0xFFFFFFFF | 1 for i in range(n)], np.uint32)[:, None]
+
+
 def signature(shingles: np.ndarray, n: int) -> np.ndarray:
-    """The minima of the shingles' hashes under ``n`` permutations (multiplications by odd numbers, then a mix)."""
-    odd = np.array([xxhash.xxh3_64_intdigest(i.to_bytes(4, "little"), 7) | 1 for i in range(n)], np.uint64)
-    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for a in range(0, n, 16):
-            for z in range(0, len(shingles), 1 << 16):  # bounded memory, whatever the text's length
-                mixed = shingles[None, z : z + (1 << 16)] * odd[a : a + 16, None]
-                mixed ^= mixed >> np.uint64(31)
-                mixed *= _MIX
-                least[a : a + 16] = np.minimum(least[a : a + 16], mixed.min(axis=1))
+    """The minima of the upper halves of the shingles' hashes under ``n`` permutations (multiplications by odd numbers, then a mix).
+
+    Of 32 bits, as processors multiply and compare eight such numbers at once. Shingles that meet in them only raise an estimate.
+    """
+    odd, halves = _odd(n), (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(n, np.iinfo(np.uint32).max, np.uint32)
+    mixes, shifts = np.empty((2, 32, min(1024, len(halves))), np.uint32)  # within the cache, whatever the text's length
+    for z in range(0, len(halves), 1024):
+        part = halves[z : z + 1024]
+        for a in range(0, n, 32):
+            several = odd[a : a + 32]
+            mixed, shifted = mixes[: len(several), : len(part)], shifts[: len(several), : len(part)]
+            np.multiply(part, several, out=mixed)
+            np.right_shift(mixed, np.uint32(15), out=shifted)
+            np.bitwise_xor(mixed, shifted, out=mixed)
+            np.multiply(mixed, np.uint32(0x85EBCA6B), out=mixed)
+            np.minimum(least[a : a + 32], mixed.min(axis=1), out=least[a : a + 32])
     return least
 
 
@@ -138,6 +152,24 @@ def _by_rarity(open_: DataFrame, sets: DataFrame, similarity: float, small: int,
     return _verified(pairs, sets, similarity).unionByName(many.groupBy("s", "i", "j").applyInPandas(multiply, "u binary, v binary"))
 
 
+def class_sets(texts: DataFrame, owners: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(key, set) of the classes ``wanted`` (key), from the ``texts`` (id, text) of their ``owners`` (owner).
+
+    The sets are made in ``mapInArrow``, below which Spark moves no join: of a UDF's column the join with ``wanted`` would be
+    moved down to all texts, and each text's set made for its key alone.
+    """
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, words) for t in b.column(0).to_pylist()]
+            keys = pa.array([hashlib.md5(s.tobytes()).digest() for s in found], pa.binary())
+            yield pa.record_batch([keys, pa.array([np.sort(s.view(np.int64)) for s in found], pa.list_(pa.int64()))], ["key", "set"])
+
+    again = texts.join(owners.select("owner").distinct(), F.col("id").eqNullSafe(F.col("owner")), "left_semi")
+    sets = again.select("text").mapInArrow(as_sets, "key binary, set array<long>")
+    return sets.dropDuplicates(["key"]).join(wanted, "key", "left_semi")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, small: int = 32, part_rows: int = 512, part_shingles: int = 1 << 19) -> DataFrame:
     """(id, same_as, component): the smallest id with the same shingles, and the smallest id that links of ``similarity`` reach.
 
@@ -145,6 +177,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     as larger than all others. Repeated rows come back repeated. Two texts with a similarity of ``similarity`` or more are
     in one component unless their signatures share no band (see above); texts below are never linked directly.
     """
+    small_batches(df.sparkSession)
     named = fresh([id_col], "same_as", "component")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +188,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 m = signature(s, bands * rows)
                 keys.append(hashlib.md5(s.tobytes()).digest())
                 hashes.append([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in m.reshape(bands, rows)])
-                minima.append((m & np.uint64(0x7FFFFFFF)).astype(np.int32))
+                minima.append(m.view(np.int32))
             yield pa.record_batch([b.column(0), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(minima, pa.list_(pa.int32()))], ["id", "key", "bands", "minima"])
 
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -178,15 +211,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Sets of the classes that are compared only, from the text of their first row.
     wanted = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).unionByName(many.select("key")).distinct()
-    owners = classes.join(wanted, "key").select(F.col("owner"), F.col("key"))
-
-    @F.pandas_udf("struct<key:binary,set:array<long>>")
-    def as_set(column: pd.Series) -> pd.DataFrame:
-        found = [shingle_set(t, words) for t in column]
-        return pd.DataFrame({"key": [hashlib.md5(s.tobytes()).digest() for s in found], "set": [np.sort(s.view(np.int64)) for s in found]})
-
-    again = texts.join(owners.select("owner").distinct(), F.col("id").eqNullSafe(F.col("owner")), "left_semi").select(as_set("text").alias("s")).select("s.*")
-    sets = stored(again.dropDuplicates(["key"]).join(wanted, "key", "left_semi"), "sets")
+    sets = stored(class_sets(texts, classes.join(wanted, "key"), wanted, words), "sets")
     links = stored(_verified(pairs, sets, similarity), "near")
     nodes = stored(components(links).withColumnRenamed("node", "key"), "nodes")
 

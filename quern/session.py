@@ -46,6 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """From now on the session sends at most so many rows, and some so many bytes of them, to Python at once; lower settings stay.
+
+    For Python over whole texts: an executor holds a batch several times, as Arrow buffers outside its heap and in each worker.
+    No result depends on it. It isn't set back, as Spark plans a frame only when its caller reads it.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 _SHIPPED: set[str] = set()
 
 

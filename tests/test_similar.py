@@ -58,6 +58,33 @@ def test_near_duplicates_equal_all_pairs(spark, small, part_rows):
     assert len(links) > 50 and similar.near_duplicates(df.where("false")).count() == 0
 
 
+def test_sets_are_made_of_compared_texts_only(spark, tmp_path, monkeypatch):
+    """Each text is sketched once; a second time only those in a candidate pair."""
+    seen, made = str(tmp_path / "seen"), similar.shingle_set
+
+    def noted(text, words):
+        with open(seen, "a") as f:
+            f.write("x\n")
+        return made(text, words)
+
+    monkeypatch.setattr(similar, "shingle_set", noted)
+    rng = random.Random(3)
+    rows = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(200)]
+    rows += [rows[0] + " more", rows[1]]
+    got = similar.near_duplicates(spark.createDataFrame(list(enumerate(rows, 1)), "doc_id int, text string"))
+    assert {r.doc_id: r.component for r in got.collect() if r.doc_id != r.component} == {201: 1, 202: 2}
+    assert len(open(seen).readlines()) == len(rows) + 2
+
+
+def test_signatures_of_parts():
+    """A union's signature is the least of its parts', whatever blocks of shingles and permutations it is made in."""
+    shingles = np.unique(np.random.default_rng(4).integers(0, 2**64, 5000, np.uint64))
+    for n in (1, 31, 128, 200):
+        want = np.minimum(similar.signature(shingles[::2], n), similar.signature(shingles[1::2], n))
+        assert (similar.signature(shingles, n) == want).all() and (similar.signature(shingles, 200)[:n] == want).all()
+    assert similar.signature(shingles[:1], 3).dtype == np.uint32
+
+
 def test_signatures_estimate_the_similarity():
     rng = np.random.default_rng(2)
     for share in (0.3, 0.6, 0.8, 0.95):
