@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import connected_components, durable, fresh
+from quern.session import small_batches
 
 SEED = 42
 MAX_BITS = 2
@@ -337,6 +338,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wholly equal one stays. Null texts count as empty; texts without a word form one group. Texts are compared
     whole. An empty table gives an empty result; extra columns of any name pass through.
     """
+    small_batches(docs.sparkSession)
     own_row, kept_id, kept_row = fresh(docs.columns, "own_row", "kept_id", "kept_row")
     values = [F.col(f"`{c}`") for c in docs.columns]
     row_hash = F.xxhash64(F.array(*[v.isNull() for v in values]), *values)  # in which column a null stands counts

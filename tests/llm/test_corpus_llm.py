@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from quern.llm import common, hilbert, mixing, queries, secrets, simhash
+from quern.llm import common, hilbert, mixing, queries, secrets, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp int, key string, shard int, times int, row_hash int"
 
@@ -372,3 +372,33 @@ def test_simhash_dedup_holds_few_texts_at_once():
     got = [(rest.column(0).to_pylist(), found) for rest, found in simhash.pieces(iter([batch, batch.slice(2, 3), batch.slice(0, 0)]), text_bytes=100, most=4)]
     assert [i for i, _ in got] == [[0, 1, 2, 3], [4], [5], [6, 7, 8, 9], [10], [2, 3, 4]]
     assert all(found == [texts[i] for i in rows] for rows, found in got)
+
+
+def test_text_operators_send_python_small_batches(spark):
+    """Rows and bytes of the batches after near-dedup, after the toxicity model and after its scores; lower settings stay."""
+    rows, size = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
+    before = {k: spark.conf.get(k) for k in (rows, size)}
+    docs = spark.createDataFrame([(i, f"a text of some words {i}", "s") for i in range(20)], "doc_id long, text string, source string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+
+    def counted(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows])], ["n"])
+
+    def largest(n, chars):
+        return max(r.n for r in spark.range(0, n, 1, 1).selectExpr(f"repeat('x', {chars}) as t").mapInArrow(counted, "n long").collect())
+
+    model = toxicity.fit_toxicity(docs, labels)
+    try:
+        for call in (lambda: simhash.simhash_dedup(docs), lambda: toxicity.fit_toxicity(docs, labels), lambda: toxicity.score_toxicity(docs, model)):
+            spark.conf.set(rows, "10000")
+            spark.conf.set(size, "64m")
+            call()
+            assert largest(1500, 1) == 512 and largest(20, 1 << 20) <= 9
+        spark.conf.set(rows, "100")
+        spark.conf.set(size, "1m")
+        toxicity.score_toxicity(docs, model)
+        assert spark.conf.get(rows) == "100" and largest(20, 1 << 19) <= 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
